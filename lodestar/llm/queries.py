@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_words import bpe_digest
 from .common import table
+from .packing import packed
 from .quality_rules import RULES, STOP_WORDS, quality_report
+from .token_files import stored_digest
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +17,26 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written in order of doc_id and read back."""
+    return stored_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 ids."""
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by ranks and decoded again."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_digest(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 QUERIES = {
+    "op4_token_files": op4_token_files,
+    "op9_packing": op9_packing,
+    "op10_bpe_words": op10_bpe_words,
     "op8_quality_rules": op8_quality_rules,
 }
 
