@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_words import bpe_digest
 from .common import table
+from .jaccard_join import near_duplicates
 from .packing import packed
 from .quality_rules import RULES, STOP_WORDS, quality_report
 from .token_files import stored_digest
@@ -17,6 +18,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written in order of doc_id and read back."""
     return stored_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -34,6 +40,7 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_token_files": op4_token_files,
     "op9_packing": op9_packing,
     "op10_bpe_words": op10_bpe_words,

@@ -1,0 +1,178 @@
+"""The near-duplicate join against all pairs, on sets alone and on whole tables."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lodestar.llm.components import components
+from lodestar.llm.jaccard_join import (
+    SHINGLE,
+    bands,
+    keys_of,
+    near_duplicates,
+    one_of_each,
+    parity_bitmaps,
+    shingle_sets,
+    similar,
+)
+
+
+def shingles(text):
+    """By the definition, on strings."""
+    lowered = "".join(c.lower() if c.isascii() else c for c in text or "")
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", lowered) if w]
+    if not words:
+        return set()
+    if len(words) < SHINGLE:
+        return {tuple(words)}
+    return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+
+
+def brute(rows):
+    """(doc_id, n_shingles, component_id) of rows, by comparing all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][0] is None or rows[j][0] is None or not sets[i] or not sets[j]:
+                continue
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[root(i)] = min(doc_id, least.get(root(i), doc_id))
+    return [(d, len(s), None if d is None else least[root(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets))]
+
+
+def in_order(rows):
+    return sorted(map(tuple, rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+@given(st.lists(st.text(alphabet="aAbÉ \n\t\x0b\x1c", max_size=30), max_size=6))
+def test_sets_follow_the_definition(texts):
+    values, bounds = shingle_sets(pa.array(texts, pa.large_string()))
+    assert np.diff(bounds).tolist() == [len(shingles(t)) for t in texts]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.integers(1, 900), st.integers(0, 10**6))
+def test_similar_sets_share_a_key(size, seed):
+    """Any pair at the threshold, of any size, meets under some key; its bitmaps differ no more than the sets."""
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, 2**63, 2 * size + 4, dtype=np.uint64)
+    a = np.unique(pool[:size])
+    while True:
+        drop = int(rng.integers(0, size // 5 + 1))
+        add = int(rng.integers(0, size // 4 + 1))
+        b = np.unique(np.concatenate([a[drop:], pool[size : size + add]]))
+        if len(b) and similar(a.tobytes(), b.tobytes()):
+            break
+    values, bounds = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+    keys, who = keys_of(values, bounds)
+    if not np.array_equal(a, b):
+        assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
+    maps = parity_bitmaps(values, bounds)
+    assert np.bitwise_count(maps[0] ^ maps[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_sets_with_many_empty_segments_still_meet():
+    """Tokens that all fall in a few segments overflow the slack, and their sets meet in the empty ones."""
+    from lodestar.llm.jaccard_join import mixed
+
+    ends, schemes = bands()
+    size = 40
+    scheme = schemes[int(np.searchsorted(ends, size))]
+    pool = np.random.default_rng(1).integers(0, 2**63, 400_000, dtype=np.uint64)
+    segment = (mixed(pool, 6 + scheme.number) >> np.uint64(32)) * np.uint64(scheme.segments) >> np.uint64(32)
+    few = pool[segment < 2]
+    a, b = np.sort(few[:size]), np.sort(np.concatenate([few[: size - 4], few[size : size + 4]]))
+    assert similar(a.tobytes(), b.tobytes())
+    keys, who = keys_of(np.concatenate([a, b]), np.array([0, size, 2 * size]))
+    assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
+
+
+def test_allocation_uses_both_kinds():
+    _, schemes = bands()
+    assert any(s.deletions for s in schemes) and any(not s.deletions for s in schemes)
+    assert all(s.needed(n) + s.slack <= s.segments for s in schemes[:40] for n in (s.least, s.most, s.most * 5 // 4))
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**9)}"
+    return words
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_match_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for group in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 6, 9, 12, 15, 30, 60, 150, 400]))]
+        for _ in range(rng.choice([1, 1, 2, 5, 12])):
+            rows.append((len(rows), " ".join(edited(rng, base, rng.choice([0, 1, 1, 2, len(base) // 40])))))
+    shared = " ".join(f"p{i}" for i in range(60))
+    rows += [(len(rows) + i, f"{shared} " + " ".join(f"u{i}x{k}" for k in range(25))) for i in range(25)]
+    rows += [(len(rows), rows[5][1].upper()), (len(rows) + 1, ""), (len(rows) + 2, None), (len(rows) + 3, " \n")]
+    order = rows[:]
+    rng.shuffle(order)
+    df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+    assert in_order(near_duplicates(df).collect()) == in_order(brute(rows))
+
+
+def test_chains_are_followed(spark):
+    """Each text is similar to the next alone; all are one component, over several keys and rounds."""
+    words = [f"c{i}" for i in range(100)]
+    rows = []
+    for i in range(12):
+        words = words[3:] + [f"c{100 + 3 * i + k}" for k in range(3)]
+        rows.append((50 - i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df).collect()
+    assert in_order(got) == in_order(brute(rows))
+    assert {r.component_id for r in got} == {39}
+
+
+def test_awkward_rows(awkward, awkward_rows):
+    got = near_duplicates(awkward).collect()
+    assert in_order(got) == in_order(brute(awkward_rows))
+
+
+def test_empty_table(empty_docs):
+    assert near_duplicates(empty_docs).collect() == []
+
+
+def test_one_of_each_keeps_columns_and_null_ids(awkward):
+    kept = one_of_each(awkward)
+    assert kept.columns == awkward.columns
+    got = near_duplicates(awkward).collect()
+    gone = {r.doc_id for r in got if r.doc_id is not None and r.component_id < r.doc_id}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
+        str(r.doc_id) for r in awkward.collect() if r.doc_id not in gone
+    )
+
+
+@pytest.mark.parametrize("edges,want", [([], {}), ([(1, 2), (2, 3), (9, 3), (7, 7), (5, 4)], {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4})])
+def test_components(spark, edges, want):
+    got = components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.label for r in got.collect()} == want
+
+
+def test_long_path_of_components(spark):
+    rng = random.Random(0)
+    nodes = list(range(300))
+    rng.shuffle(nodes)
+    got = components(spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long"))
+    assert {r.node: r.label for r in got.collect()} == dict.fromkeys(nodes, 0)
