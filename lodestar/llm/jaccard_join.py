@@ -60,7 +60,7 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' distinct shingle hashes, ascending within a text, and where each text's begin and end."""
     n = len(texts)
-    spaced = pc.ascii_lower(texts)
+    spaced = texts
     for other in "\t\n\v\f\r":
         spaced = pc.replace_substring(spaced, other, " ")
     split = pc.split_pattern(spaced, " ")
@@ -68,7 +68,8 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(n), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
     coded = pc.dictionary_encode(flat)
     at = coded.indices.to_numpy().astype(np.int64)
-    pool = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    # Lower-casing the slice itself would go wrong: that kernel misreads arrays that begin inside a buffer.
+    pool = pc.ascii_lower(coded.dictionary).to_numpy(zero_copy_only=False).tolist()
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in pool), np.uint64, len(pool))
     filled = np.fromiter((bool(w) for w in pool), bool, len(pool))[at] if len(pool) else np.zeros(0, bool)
     word, owner = hashes[at[filled]] if len(pool) else np.zeros(0, np.uint64), owner[filled]
