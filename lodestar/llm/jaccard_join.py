@@ -46,9 +46,6 @@ SHINGLE = 5
 SIMILAR = (80, 100)
 BITMAP_WORDS = 16
 
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (2**64 - 1) | 1 for k in range(SHINGLE)], np.uint64)
-
-
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
     x = x + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
@@ -115,6 +112,10 @@ def set_ids(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     )
 
 
+# One for each place in a shingle, without any relation between them: words that change places must change the sum.
+_MULTIPLIERS = mixed(np.arange(SHINGLE, dtype=np.uint64), 10) | np.uint64(1)
+
+
 @dataclass(frozen=True)
 class Scheme:
     """How sets of one band, and those of the next, are cut for pairs whose smaller set is of this band."""

@@ -65,6 +65,12 @@ def test_sets_follow_the_definition(texts):
     assert np.diff(bounds).tolist() == [len(shingles(t)) for t in texts]
 
 
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c"]), max_size=40).map(" ".join), max_size=4))
+def test_repetitive_texts_follow_the_definition(texts):
+    values, bounds = shingle_sets(pa.array(texts, pa.large_string()))
+    assert np.diff(bounds).tolist() == [len(shingles(t)) for t in texts]
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.integers(1, 900), st.integers(0, 10**6))
 def test_similar_sets_share_a_key(size, seed):
