@@ -6,8 +6,10 @@ encoded one by one. Arrow splits and dictionary-encodes them, and each different
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ import pyarrow.compute as pc
 CUT = re.compile(r" (?=\S)")
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most_bytes`` of text at most; a longer text stands alone and stays whole."""
     if not batch.num_rows:
         return
@@ -43,7 +45,7 @@ def segments(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     bounds = split.offsets.to_numpy().astype(np.int64)
     bounds -= bounds[0]
     coded = pc.dictionary_encode(split.flatten())
-    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
     glued = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))[at]
     first = np.zeros(len(at), bool)
     first[bounds[:-1]] = True
@@ -75,22 +77,25 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes slices of texts; each different segment goes to ``encode`` once while it is remembered."""
+    """Encodes slices of texts; each different segment goes to ``encode`` once while it is remembered.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], remembered: int = 300_000):
-        self.encode, self.most, self.known = encode, remembered, {}
+    Two generations of at most ``remembered`` segments bound the memory; what is still in use moves to the new one.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = 200_000):
+        self.encode, self.most, self.new, self.old = encode, remembered, {}, {}
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids as one array, and where each text's ids begin and end."""
         pool, at, bounds = segments(texts)
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new = [s for s in pool if s not in known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, (np.array(ids, "<u4").tobytes() for ids in self.encode(part)), strict=True))
-        parts = [known[s] for s in pool]
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        parts = [new.get(s) or old.get(s) for s in pool]
+        unknown = [i for i, p in enumerate(parts) if p is None]
+        for i, ids in zip(unknown, self.encode([pool[i] for i in unknown]), strict=True):
+            parts[i] = ids
+        new.update(zip(pool, parts, strict=True))
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat = np.frombuffer(b"".join(parts), "<u4")
         starts = np.cumsum(lengths) - lengths
@@ -99,12 +104,41 @@ class Encoder:
         return ids, np.concatenate([[0], np.cumsum(per_place)])[bounds]
 
 
+@lru_cache(2)
 def json_encoder(path: str) -> Encoder:
-    """An Encoder by the tokenizers library and one of its files, without special tokens added."""
-    import os
+    """An Encoder by the tokenizers library and one of its files, without special tokens added.
 
+    A worker process keeps it from task to task. Segments that hold one space, at their start, are encoded many at a
+    time: a token that begins with a space is then where the next one begins.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return Encoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    opens = np.zeros(max(vocabulary.values()) + 1, bool)
+    opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+
+    def alone(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def together(texts: list[str]) -> list[bytes]:
+        ids = np.array(tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(opens[ids])
+        if len(starts) != len(texts) or starts[0]:
+            return alone(texts)
+        ends, raw = [*(4 * starts[1:]).tolist(), 4 * len(ids)], ids.tobytes()
+        return [raw[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        plain = [i for i, s in enumerate(texts) if s[:1] == " " and len(s) > 1 and s.count(" ") == 1]
+        own = set(plain)
+        for run, how in ((plain, together), ([i for i in range(len(texts)) if i not in own], alone)):
+            for i in range(0, len(run), 1000):
+                part = run[i : i + 1000]
+                for k, ids in zip(part, how([texts[k] for k in part]), strict=True):
+                    out[k] = ids
+        return out
+
+    return Encoder(encode)
