@@ -11,6 +11,7 @@ from .jaccard_join import near_duplicates
 from .packing import packed
 from .quality_rules import RULES, STOP_WORDS, quality_report
 from .token_files import stored_digest
+from .toxicity import toxicity_scores, trained
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labelled ones outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -40,6 +47,7 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_files": op4_token_files,
     "op9_packing": op9_packing,
