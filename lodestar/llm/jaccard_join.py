@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, removed, stored
 from .components import components
 from .segments import gathered, slices, whole_texts
 
@@ -256,8 +256,9 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batch, "text"):
             values, bounds = shingle_sets(whole_texts(rows.column("text")))
             sid, check = set_ids(values, bounds)
-            arrays = [rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sid), pa.array(check)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "sid", "check"])
+            maps = pa.array([m.tobytes() for m in parity_bitmaps(values, bounds)], pa.binary())
+            arrays = [rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sid), pa.array(check), maps]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "sid", "check", "bitmap"])
 
 
 def _dealt_keys(batches: Iterator[pa.RecordBatch], buckets: int, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -346,14 +347,21 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batch, "text"):
             values, bounds = shingle_sets(whole_texts(rows.column("text")))
             sid, _ = set_ids(values, bounds)
-            maps, ends = parity_bitmaps(values, bounds), bounds.tolist()
-            arrays = [
-                pa.array(sid),
-                pa.array(np.diff(bounds)),
-                pa.array([m.tobytes() for m in maps], pa.binary()),
-                pa.array([values[a:b].astype("<u8").tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["sid", "n", "bitmap", "tokens"])
+            raw, ends = values.astype("<u8").tobytes(), (8 * bounds).tolist()
+            tokens = pa.array([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(sid), tokens], names=["sid", "tokens"])
+
+
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and bitmaps don't rule similarity out."""
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy() for c in ("a_n", "b_n"))
+        x, y = (
+            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+            for c in ("a_bitmap", "b_bitmap")
+        )
+        good = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (np.bitwise_count(x ^ y).sum(1) <= (n + m) // 9)
+        yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -373,13 +381,22 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(good)
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar, by their whole sets."""
+def _links(pairs: DataFrame, firsts: DataFrame, named: DataFrame) -> DataFrame:
+    """Those of the (stored) pairs (a, b) that are similar, by the whole sets of their texts; stored."""
+    spark = pairs.sparkSession
+    members = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    wanted = firsts.join(members, "sid", "left_semi").select(F.col("first_doc").alias("doc_id")).distinct()
+    texts = named.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    # An id that several texts share brings more sets than wanted; they take no part in the joins below.
+    sets = stored(texts.mapInArrow(_whole_sets, "sid long, tokens binary"), "whole")
+    released(spark)
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("a_tokens"))
     right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("b_tokens"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "a_tokens", "b_tokens").mapInArrow(
-        _verified, "a long, b long"
-    )
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_tokens", "b_tokens")
+    links = stored(both.mapInArrow(_verified, "a long, b long"), "links")
+    removed(spark, sets)
+    released(spark)
+    return links
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,57 +442,73 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _checked(summaries: DataFrame) -> DataFrame:
-    """(sid, n, first_doc): one row a set; raises if one sid ever stood for two sets."""
+    """(sid, n, first_doc, bitmap): one row a set; raises if one sid ever stood for two sets."""
     grouped = summaries.filter("n > 0").groupBy("sid").agg(
         F.min("doc_id").alias("first_doc"),
         F.min("check").alias("c0"),
         F.max("check").alias("c1"),
         F.min("n").alias("n"),
         F.max("n").alias("n1"),
+        F.first("bitmap").alias("bitmap"),
     )
     same = (F.col("c0") == F.col("c1")) & (F.col("n") == F.col("n1"))
-    guarded = F.when(same, F.col("sid")).otherwise(F.raise_error(F.lit("two different sets share a 64-bit id")).cast("long"))
-    return grouped.select(guarded.alias("sid"), "n", "first_doc")
+    clash = F.raise_error(F.lit("two different sets share a 64-bit id")).cast("long")
+    return grouped.select(F.when(same, F.col("sid")).otherwise(clash).alias("sid"), "n", "first_doc", "bitmap")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles and component_id."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    summaries = stored(rows.mapInArrow(_summaries, "doc_id long, n long, sid long, check long"), "sets")
-    named = rows.filter(F.col("doc_id").isNotNull())
-    dealt = named.mapInArrow(
-        lambda b: _dealt_keys(b, n), "bucket long, sids binary, counts binary, keys binary"
-    ).repartition(n, "bucket")
-    shared = stored(dealt.mapInArrow(_shared_keys, "key long, sid long, members long"), "keys")
+def _shared(named: DataFrame, buckets: int) -> DataFrame:
+    """(key, sid, members) of all keys that several sets hold; stored."""
+    schema = "bucket long, sids binary, counts binary, keys binary"
+    dealt = named.mapInArrow(lambda b: _dealt_keys(b, buckets), schema).repartition(buckets, "bucket")
+    return stored(dealt.mapInArrow(_shared_keys, "key long, sid long, members long"), "keys")
 
-    # The whole sets of those that share a key with another, once.
-    firsts = stored(_checked(summaries.filter(F.col("doc_id").isNotNull())), "firsts")
-    wanted = firsts.join(shared.select("sid").distinct(), "sid", "left_semi").select(F.col("first_doc").alias("doc_id"), "sid")
-    texts = named.join(wanted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    whole = texts.mapInArrow(_whole_sets, "sid long, n long, bitmap binary, tokens binary")
-    sets = stored(whole.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "whole")
 
-    # Round one: every member against the busiest set of its key.
+def _stars(shared: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Round one's plausible pairs: every member of a key with the key's busiest set; stored."""
     busy = shared.groupBy("sid").agg(F.sum("members").alias("busy"))
     middle = shared.join(busy, "sid").groupBy("key").agg(F.max(F.struct("busy", "sid"))["sid"].alias("center"))
-    stars = shared.join(middle, "key").filter("sid <> center").select(
+    pairs = shared.join(middle, "key").filter("sid <> center").select(
         F.least("sid", "center").alias("a"), F.greatest("sid", "center").alias("b")
-    ).distinct()
-    first = stored(_links(stars, sets), "links")
-    labels = stored(components(first), "labels")
+    )
+    side = lambda k: firsts.select(
+        F.col("sid").alias(k), F.col("n").alias(f"{k}_n"), F.col("bitmap").alias(f"{k}_bitmap")
+    )
+    both = pairs.distinct().join(side("b"), "b").join(side("a"), "a")
+    return stored(both.mapInArrow(_plausible, "a long, b long"), "pairs")
 
-    # Round two: the keys that still hold several components.
+
+def _crossings(shared: DataFrame, firsts: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
+    """Round two's plausible pairs: those of one key and of different components; stored."""
     marked = shared.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select(
         "key", "sid", F.coalesce("label", "sid").alias("label")
     )
-    open_keys = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-    left = marked.join(open_keys.select("key"), "key", "left_semi")
-    crossing = left.join(sets.select("sid", "n", "bitmap"), "sid").repartition(n, "key").mapInArrow(
-        _crossing, "a long, b long"
-    ).distinct()
-    second = _links(crossing, sets)
+    ends = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    left = marked.join(ends.filter("x <> y").select("key"), "key", "left_semi")
+    rows = left.join(firsts.select("sid", "n", "bitmap"), "sid").repartition(buckets, "key")
+    return stored(rows.mapInArrow(_crossing, "a long, b long").distinct(), "pairs")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles and component_id."""
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    named = rows.filter(F.col("doc_id").isNotNull())
+    summaries = stored(
+        rows.mapInArrow(_summaries, "doc_id long, n long, sid long, check long, bitmap binary"), "sets"
+    )
+    firsts = stored(_checked(summaries.filter(F.col("doc_id").isNotNull())), "firsts")
+    shared = _shared(named, buckets)
+    released(spark)
+
+    stars = _stars(shared, firsts)
+    released(spark)
+    first = _links(stars, firsts, named)
+    labels = stored(components(first), "labels")
+
+    crossing = _crossings(shared, firsts, labels, buckets)
+    released(spark)
+    second = _links(crossing, firsts, named)
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     final = components(known.unionByName(second))
 
@@ -483,14 +516,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "sid", "first_doc", F.coalesce("label", "sid").alias("label")
     )
     lowest = least.groupBy("label").agg(F.min("first_doc").alias("lowest"))
-    named_sets = least.join(lowest, "label").select("sid", "lowest")
-    joined = summaries.join(named_sets, "sid", "left")
+    named_sets = stored(least.join(lowest, "label").select("sid", "lowest"), "classes")
+    for done in (shared, stars, first, labels, crossing, second, firsts):
+        removed(spark, done)
+    released(spark)
+    joined = summaries.select("doc_id", "n", "sid").join(named_sets, "sid", "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("lowest"))
     return joined.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("lowest")).alias(
-            "component_id"
-        ),
+        F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
     )
 
 

@@ -59,12 +59,14 @@ def in_order(rows):
     return sorted(map(tuple, rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
+@settings(deadline=None)
 @given(st.lists(st.text(alphabet="aAbÉàÅ\x85\xa0 \n\t\x0b\x1c", max_size=30), max_size=6))
 def test_sets_follow_the_definition(texts):
     values, bounds = shingle_sets(pa.array(texts, pa.large_string()))
     assert np.diff(bounds).tolist() == [len(shingles(t)) for t in texts]
 
 
+@settings(deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["a", "b", "c"]), max_size=40).map(" ".join), max_size=4))
 def test_repetitive_texts_follow_the_definition(texts):
     values, bounds = shingle_sets(pa.array(texts, pa.large_string()))
