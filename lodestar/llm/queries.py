@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_classifier
 from .bpe_words import bpe_digest
 from .common import table
 from .jaccard_join import near_duplicates
@@ -19,6 +20,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from the labelled ones outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.quality_scores(docs, quality_classifier.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labelled ones outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -47,6 +54,7 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_files": op4_token_files,
