@@ -149,20 +149,29 @@ def broken(rules: tuple[Rule, ...], figure, n_words: Column) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def _settled(value: Column) -> Column:
+    """``value``, through which no later filter is pushed.
+
+    A filter above would otherwise be rewritten in terms of the text and evaluate every figure many times over. It stops
+    at a projection that isn't a function of the row alone, such as one with a row number.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", prefix: str = "_q_") -> DataFrame:
     """``measured`` with ``prefix`` + ``base_failed`` and ``prefix`` + ``kept``."""
     df = measured(docs, text, prefix)
     p = lambda name: F.col(prefix + name)
     failed = (p("n_words") < 10) | (100 * p("n_repeat_words") > 20 * p("n_words"))
     df = df.withColumn(prefix + "base_failed", failed)
-    return df.withColumn(prefix + "kept", ~(p("base_failed") | broken(rules, p, p("n_words"))))
+    return df.withColumn(prefix + "kept", _settled(~(p("base_failed") | broken(rules, p, p("n_words")))))
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: id, base figures, base verdict and final verdict."""
     df = judged(docs.select("doc_id", "text"), rules)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return df.select("doc_id", *(F.col("_q_" + n).alias(n) for n in names))
+    return df.select("doc_id", *(_settled(F.col("_q_" + n)).alias(n) for n in names))
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
