@@ -9,10 +9,12 @@ from . import quality_classifier
 from .bpe_words import bpe_digest
 from .common import table
 from .jaccard_join import near_duplicates
+from .media import media_round_trip
 from .packing import packed
 from .quality_rules import RULES, STOP_WORDS, quality_report
 from .token_files import stored_digest
 from .toxicity import toxicity_scores, trained
+from .url_filter import url_verdicts
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored in a media container and read back."""
+    return media_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs."""
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 ids."""
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -54,6 +66,8 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_media": op6_media,
+    "op7_url_filter": op7_url_filter,
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
     "op3_jaccard_join": op3_jaccard_join,
