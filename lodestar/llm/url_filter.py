@@ -42,6 +42,7 @@ adult-x.example.net/de/614  adult-cams.example.com/live  xxx-adult.example.org/
 spam-farm.example.org/en/2  spam-links.example.net/seo  link-farm.example.com/fr/9  m.seo-spam.example.org/de/95
 ads-track.example.net/click  click-ads.example.com/es/70  track-ads.example.org/en/12  www.ads-server.example.net/track
 free-win.example.com/prize  jackpot-win.example.net/de/5  payday-loans.example.org/apply  replica-sale.example.com/en/8
+m.ads-banner.example.org/en/31  ads-pixel.example.com/fr/6  x.ads-clicks.example.net/
 warez-crack.example.net/keygen  viagra-shop.example.org/buy  poker-win.example.com/fr/66  porn-tube.example.net/xxx
 """.split()
 ALLOWED_URLS = """
@@ -61,6 +62,10 @@ orbit.example.com/fr/204  stable.example.net/en/898  m.notion.example.org/fr/489
 """.split()
 
 
+#: So many empty URLs are taken as ordinary ones in training.
+NOTHING = 4
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     at = F.instr(url, "://")
     after = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
@@ -98,13 +103,13 @@ def _logits(weights: np.ndarray, bias: float, hosts: pa.Array, paths: pa.Array)
 @lru_cache(1)
 def trained(steps: int = 2000, rate: float = 0.5, decay: float = 2e-4) -> tuple[np.ndarray, float]:
     """Weights and bias from the labelled table; the same on every machine."""
-    urls = [u.split("/", 1) for u in BLOCKED_URLS + ALLOWED_URLS]
-    y = np.array([1.0] * len(BLOCKED_URLS) + [0.0] * len(ALLOWED_URLS))
-    columns = [pa.array([u[0] for u in urls]), pa.array(["/" + u[1] for u in urls])]
+    urls = [tuple(u.partition("/")) for u in BLOCKED_URLS + ALLOWED_URLS] + [("", "", "")] * NOTHING
+    y = np.array([1.0] * len(BLOCKED_URLS) + [0.0] * (len(ALLOWED_URLS) + NOTHING))
+    columns = [pa.array([host for host, _, _ in urls]), pa.array([slash + path for _, slash, path in urls])]
     parts = []
     for part, texts in enumerate(columns):
         bucket, owner = _features(texts, part)
-        parts.append((bucket, owner, 1 / np.sqrt(np.bincount(owner, minlength=len(urls)))[owner]))
+        parts.append((bucket, owner, 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=len(urls)), 1))[owner]))
     weights, bias = np.zeros(BUCKETS), 0.0
     for _ in range(steps):
         error = (sigmoid(_logits(weights, bias, *columns)) - y) / len(y)
