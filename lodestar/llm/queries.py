@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import quality_classifier
 from .bpe_words import bpe_digest
 from .common import table
+from .html_extract import extracted
 from .jaccard_join import near_duplicates
 from .media import media_round_trip
 from .packing import packed
@@ -44,6 +45,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored in a media container and read back."""
     return media_round_trip(table(spark, sf_dir, "documents"))
@@ -66,15 +72,16 @@ def op10_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op6_media": op6_media,
-    "op7_url_filter": op7_url_filter,
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_files": op4_token_files,
+    "op5_html_extract": op5_html_extract,
+    "op6_media": op6_media,
+    "op7_url_filter": op7_url_filter,
+    "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_bpe_words": op10_bpe_words,
-    "op8_quality_rules": op8_quality_rules,
 }
 
 _W = r"[^\x20\x09-\x0D]+"
