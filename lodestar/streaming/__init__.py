@@ -1,0 +1 @@
+"""Unbounded input. The dialect has none: every source is a finished table, so nothing is built here."""
