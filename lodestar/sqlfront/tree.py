@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 
 class Expr:
@@ -28,11 +29,7 @@ def float_literal(x: float) -> str:
         return f"{x:.1f}"
     if x == int(x):
         return str(int(x))
-    text = repr(x)
-    if "e" in text:
-        digits, _, power = text.partition("e")
-        text = f"{x:.{len(digits.replace('.', '').replace('-', '')) - 1 - int(power)}f}"
-    return text
+    return f"{Decimal(repr(x)):f}"
 
 
 @dataclass(frozen=True)
