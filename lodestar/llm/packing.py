@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -90,9 +91,8 @@ def pack_batches(
 
     for batch in batches:
         for rows in slices(batch, "text"):
-            ids, bounds = encode(whole_texts(rows.column("text")))
-            ended = np.ascontiguousarray(np.insert(ids, bounds[1:], end_id).astype("<u4"))
-            raw, offsets = memoryview(ended).cast("B"), (bounds + np.arange(len(bounds))).tolist()
+            ended, bounds = encode(whole_texts(rows.column("text")), end_id)
+            raw, offsets = memoryview(ended).cast("B"), bounds.tolist()
             for i, doc_id in enumerate(rows.column("doc_id").to_pylist()):
                 base, total = offsets[i], offsets[i + 1] - offsets[i]
                 for at, length in pieces(total, capacity):

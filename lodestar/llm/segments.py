@@ -37,16 +37,29 @@ def whole_texts(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def _open_to_the_left(dictionary: pa.Array, words: list[str]) -> np.ndarray:
+    """Which words are empty or begin with white space, so that a cut before them may not be one."""
+    lengths = pc.binary_length(dictionary).to_numpy(zero_copy_only=False)
+    out = lengths == 0
+    _, offsets, data = dictionary.buffers()
+    if len(words) and data is not None and data.size:
+        starts = np.frombuffer(offsets, np.int64)[dictionary.offset :][: len(words)]
+        first = np.frombuffer(data, np.uint8)[np.minimum(starts, data.size - 1)]
+        for i in np.flatnonzero(~out & ((first <= 0x20) | (first >= 0x80))).tolist():
+            out[i] = words[i][0].isspace()
+    return out
+
+
 def segments(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The different segments, the segment number at each place, and where each text's places begin and end."""
     if not len(texts):
-        return [], np.zeros(0, np.int64), np.zeros(1, np.int64)
+        return [], np.zeros(0, np.int32), np.zeros(1, np.int64)
     split = pc.split_pattern(texts, " ")
     bounds = split.offsets.to_numpy().astype(np.int64)
     bounds -= bounds[0]
     coded = pc.dictionary_encode(split.flatten())
-    words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
-    glued = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))[at]
+    words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.array(coded.indices, np.int32)
+    glued = _open_to_the_left(coded.dictionary, words)[at]
     first = np.zeros(len(at), bool)
     first[bounds[:-1]] = True
     at[first] += len(words)
@@ -58,7 +71,7 @@ def segments(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
             if i in own:
                 head, *rest = CUT.split(texts[i].as_py())
                 run = [numbers.setdefault(s, len(numbers)) for s in (head, *(" " + s for s in rest))]
-                runs.append(np.array(run, np.int64) + len(pool))
+                runs.append(np.array(run, np.int32) + len(pool))
             else:
                 runs.append(at[bounds[i] : bounds[i + 1]])
         pool += numbers
@@ -66,75 +79,103 @@ def segments(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         bounds = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
     used = np.zeros(len(pool), bool)
     used[at] = True
-    renumbered = np.cumsum(used) - 1
+    renumbered = np.cumsum(used, dtype=np.int32) - 1
     return [s for s, u in zip(pool, used.tolist(), strict=True) if u], renumbered[at], bounds
 
 
 def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions start, start + 1, ... of every run, one run after the other."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+    ends = np.cumsum(lengths, dtype=lengths.dtype)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0, dtype=lengths.dtype)
 
 
 class Encoder:
     """Encodes slices of texts; each different segment goes to ``encode`` once while it is remembered.
 
-    Two generations of at most ``remembered`` segments bound the memory; what is still in use moves to the new one.
+    Two generations of about ``remembered`` segments bound the memory; what is still in use moves to the new one.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = 200_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = 150_000):
         self.encode, self.most, self.new, self.old = encode, remembered, {}, {}
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids as one array, and where each text's ids begin and end."""
+    def __call__(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids as one array, each text's closed by the id ``end`` if that is given; where each text's begin and end."""
         pool, at, bounds = segments(texts)
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        parts = [new.get(s) or old.get(s) for s in pool]
-        unknown = [i for i, p in enumerate(parts) if p is None]
-        for i, ids in zip(unknown, self.encode([pool[i] for i in unknown]), strict=True):
-            parts[i] = ids
-        new.update(zip(pool, parts, strict=True))
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        parts = [*map(self.new.get, pool)]
+        missing = [i for i, p in enumerate(parts) if p is None]
+        older = [*map(self.old.get, [pool[i] for i in missing])]
+        unknown = [i for i, p in zip(missing, older, strict=True) if p is None]
+        for i, p in zip(missing, older, strict=True):
+            parts[i] = p
+        for i, p in zip(unknown, self.encode([pool[i] for i in unknown]), strict=True):
+            parts[i] = p
+        self.new.update((pool[i], parts[i]) for i in missing)
+        if end is not None:
+            at = np.insert(at, bounds[1:], len(parts))
+            bounds = bounds + np.arange(len(bounds))
+            parts.append(end.to_bytes(4, "little"))
+        # A slice has far fewer than 2**31 ids, so its places fit in 32 bits.
+        lengths = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
         flat = np.frombuffer(b"".join(parts), "<u4")
-        starts = np.cumsum(lengths) - lengths
         per_place = lengths[at]
-        ids = flat[gathered(starts[at], per_place)]
+        ids = flat[gathered((np.cumsum(lengths, dtype=np.int32) - lengths)[at], per_place)]
         return ids, np.concatenate([[0], np.cumsum(per_place)])[bounds]
 
 
+def _byte_symbols() -> dict[int, str]:
+    """The printable symbol that byte-level tokenizers write for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 @lru_cache(2)
 def json_encoder(path: str) -> Encoder:
-    """An Encoder by the tokenizers library and one of its files, without special tokens added.
+    """An Encoder by the tokenizers library and one of its byte-level files, without special tokens added.
 
     A worker process keeps it from task to task. Segments that hold one space, at their start, are encoded many at a
-    time: a token that begins with a space is then where the next one begins.
+    time: a token that begins with a space is then where the next one begins. Of these, a space and letters alone are one
+    pre-token, so they go to the same model in its own symbols, past the pre-tokenizer.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    bare.pre_tokenizer = WhitespaceSplit()
+    symbols = _byte_symbols()
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
     opens = np.zeros(max(vocabulary.values()) + 1, bool)
-    opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+    opens[[i for token, i in vocabulary.items() if token.startswith(symbols[32])]] = True
+    spelled = symbols | {10: " "}
 
     def alone(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def together(texts: list[str]) -> list[bytes]:
-        ids = np.array(tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+    def apart(run: Tokenizer, text: str, texts: list[str]) -> list[bytes]:
+        ids = np.array(run.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         starts = np.flatnonzero(opens[ids])
         if len(starts) != len(texts) or starts[0]:
             return alone(texts)
         ends, raw = [*(4 * starts[1:]).tolist(), 4 * len(ids)], ids.tobytes()
         return [raw[a:b] for a, b in zip((4 * starts).tolist(), ends, strict=True)]
 
+    def together(texts: list[str]) -> list[bytes]:
+        return apart(tokenizer, "".join(texts), texts)
+
+    def words(texts: list[str]) -> list[bytes]:
+        return apart(bare, "\n".join(texts).encode().decode("latin-1").translate(spelled), texts)
+
     def encode(texts: list[str]) -> list[bytes]:
+        kinds: dict[Callable, list[int]] = {words: [], together: [], alone: []}
+        for i, s in enumerate(texts):
+            spaced = s[:1] == " "
+            how = words if spaced and s[1:].isalpha() else together if spaced and len(s) > 1 and s.count(" ") == 1 else alone
+            kinds[how].append(i)
         out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, s in enumerate(texts) if s[:1] == " " and len(s) > 1 and s.count(" ") == 1]
-        own = set(plain)
-        for run, how in ((plain, together), ([i for i in range(len(texts)) if i not in own], alone)):
+        for how, run in kinds.items():
             for i in range(0, len(run), 1000):
                 part = run[i : i + 1000]
                 for k, ids in zip(part, how([texts[k] for k in part]), strict=True):
