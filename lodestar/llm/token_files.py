@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import arrow_rows, shared_path
 from .segments import json_encoder, slices, whole_texts
 
 FILE_SCHEMA = "doc_id long, n_tokens long, part int, at long, token_ids array<int>"
@@ -38,10 +38,8 @@ def encode_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: in
     encode, part, before = json_encoder(tokenizer), TaskContext.get().partitionId(), 0
     for batch in batches:
         for rows in slices(batch, "text"):
-            ids, bounds = encode(whole_texts(rows.column("text")))
+            ids, offsets = encode(whole_texts(rows.column("text")), end_id)
             n = rows.num_rows
-            ended = np.insert(ids.astype(np.int32), bounds[1:], end_id)
-            offsets = bounds + np.arange(n + 1)
             lengths = np.diff(offsets)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -49,7 +47,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: in
                     pa.array(lengths, pa.int64()),
                     pa.array(np.full(n, part, np.int32)),
                     pa.array(before + offsets[:-1], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ended)),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32))),
                 ],
                 names=["doc_id", "n_tokens", "part", "at", "token_ids"],
             )
@@ -72,7 +70,8 @@ def write_tokens(
     encoded = dealt.mapInArrow(lambda batches: encode_batches(batches, tokenizer, end_id), FILE_SCHEMA)
     writer = encoded.write.option("compression", "zstd").option("parquet.block.size", row_group_bytes)
     writer = writer.option("parquet.page.row.count.limit", rows_per_page)
-    writer.options(**ENCODINGS[encoding]).parquet(path)
+    with arrow_rows(docs.sparkSession, 1000):
+        writer.options(**ENCODINGS[encoding]).parquet(path)
 
 
 def read_tokens(
