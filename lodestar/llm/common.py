@@ -21,13 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the storage that driver and executors share.
+def shared_root(spark: SparkSession) -> str:
+    """This application's folder in the storage that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset a local one is used.
+    The cluster names that storage in ``spark.checkpoint.dir``; only where that is unset a local one is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
-    return f"{base.rstrip('/')}/lodestar/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/lodestar/{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder below ``shared_root``."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -53,8 +58,17 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 def removed(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a ``stored`` frame that nothing will read again."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete all that this application has stored; frames that read it are of no use afterwards."""
+    _delete(spark, shared_root(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def released(spark: SparkSession) -> None:

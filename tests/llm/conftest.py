@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from lodestar.llm.common import cleared
+
 AWKWARD = [
     (1, "The quick brown fox jumps over the lazy dog and runs away from the old house."),
     (2, ""),
@@ -47,3 +49,9 @@ def prose():
         return " ".join(rng.choice(words.split()) + rng.choice(["", "s", "ed", ","]) for _ in range(n))
 
     return make
+
+
+@pytest.fixture(scope="session", autouse=True)
+def no_scratch_left(spark):
+    yield
+    cleared(spark)
