@@ -23,10 +23,12 @@ def test_the_cluster_names_the_folder(spark, tmp_path, monkeypatch):
         sparkContext=SimpleNamespace(applicationId="app-1"),
     )
     assert shared_root(named) == "hdfs://shared/x/lodestar/app-1"
-    monkeypatch.setattr(common, "LOCAL_SHARED_DIR", f"file://{tmp_path}")
-    assert stored(spark.range(3), "x").count() == 3 and os.listdir(tmp_path) == ["lodestar"]
+    named.conf.get = lambda key, default: default
+    assert shared_root(named) == f"{common.LOCAL_SHARED_DIR}/lodestar/app-1"
+    monkeypatch.setattr(common, "shared_root", lambda spark: f"file://{tmp_path}/app")
+    assert stored(spark.range(3), "x").count() == 3 and os.listdir(tmp_path) == ["app"]
     cleared(spark)
-    assert os.listdir(tmp_path / "lodestar") == []
+    assert os.listdir(tmp_path) == []
 
 
 def test_arrow_rows_come_back(spark):
