@@ -37,7 +37,7 @@ GRAMS = (4, 5)
 RATE = 0.01
 #: Least number of training steps, for small samples.
 STEPS = 400
-PER_CLASS = 2500
+PER_CLASS = 1800
 TOXIC = 0.7
 
 
