@@ -95,7 +95,7 @@ class Encoder:
     Two generations of about ``remembered`` segments bound the memory; what is still in use moves to the new one.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = 150_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int):
         self.encode, self.most, self.new, self.old = encode, remembered, {}, {}
 
     def __call__(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +132,7 @@ def _byte_symbols() -> dict[int, str]:
 
 
 @lru_cache(2)
-def json_encoder(path: str) -> Encoder:
+def json_encoder(path: str, remembered: int = 300_000) -> Encoder:
     """An Encoder by the tokenizers library and one of its byte-level files, without special tokens added.
 
     A worker process keeps it from task to task. Segments that hold one space, at their start, are encoded many at a
@@ -182,4 +182,4 @@ def json_encoder(path: str) -> Encoder:
                     out[k] = ids
         return out
 
-    return Encoder(encode)
+    return Encoder(encode, remembered)

@@ -35,7 +35,8 @@ ENCODINGS = {
 
 def encode_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Rows of FILE_SCHEMA for one sorted part."""
-    encode, part, before = json_encoder(tokenizer), TaskContext.get().partitionId(), 0
+    # Sorting and writing take memory beside the worker, so it remembers fewer segments than it might.
+    encode, part, before = json_encoder(tokenizer, 150_000), TaskContext.get().partitionId(), 0
     for batch in batches:
         for rows in slices(batch, "text"):
             ids, offsets = encode(whole_texts(rows.column("text")), end_id)
