@@ -4,7 +4,11 @@
 chunk, the first frame of each chunk a keyframe. ``walk`` goes through the nested boxes of any such container, and
 ``tracks`` decodes its sample tables (stsd, stts, stsc, stsz, stco or co64, stss) to codec, duration and the byte range
 of every sample, without touching the payload. Box sizes of 32 and 64 bits and up to the end are read, and both header
-versions; damaged containers raise ValueError.
+versions; damaged containers raise ValueError, and so do fragmented ones, whose samples are listed outside these tables.
+
+``media_tracks`` adds these figures to any table with a binary media column: for every track, in order, its codec,
+handler, timescale, duration, number of samples, and begin and end of every keyframe. A container may have any number of
+tracks; null media have null tracks. ``media_digest`` returns the same column and makes its feature string from it.
 
 Null texts count as empty; an empty text has one frame of zeros. Equal texts have equal containers and features.
 Repeated rows give a row each, null ids are carried along, other columns are ignored, an empty table gives an empty
@@ -22,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .common import stored
 from .segments import slices, whole_texts
@@ -132,6 +137,10 @@ def _numbers(data: memoryview, at: int, end: int, kind: str, width: int = 1) ->
     return np.frombuffer(data, kind, n * width, at + 4).astype(np.int64).reshape(-1, width)
 
 
+#: A duration of all ones in the header means that it is unknown.
+_UNKNOWN = (1 << 64) - 1
+
+
 class Track:
     """What one track's tables say; ``starts`` and ``sizes`` are the byte ranges of its samples."""
 
@@ -146,6 +155,8 @@ class Track:
         if kind == b"mdhd":
             at = (a + 20, ">IQ") if data[a] == 1 else (a + 12, ">II")
             self.timescale, self.duration = struct.unpack_from(at[1], data, at[0])
+            if data[a] != 1 and self.duration == (1 << 32) - 1:
+                self.duration = _UNKNOWN
         elif kind == b"hdlr":
             self.handler = bytes(data[a + 8 : a + 12]).decode("latin-1")
         elif kind == b"stsd":
@@ -198,6 +209,8 @@ class Track:
 def tracks(data: memoryview) -> list[Track]:
     found: list[Track] = []
     for _, kind, a, b in walk(data):
+        if kind == b"moof":
+            raise ValueError("fragmented containers are not read")
         if kind == b"trak":
             found.append(Track())
         elif found:
@@ -207,13 +220,65 @@ def tracks(data: memoryview) -> list[Track]:
     return found
 
 
-def feature(track: Track) -> str:
-    """Codec, clock, length and keyframes of a track as one line."""
-    ranges = track.key_ranges()
-    seconds = track.duration / track.timescale if track.timescale else 0
+TRACKS = (
+    "array<struct<codec: string, handler: string, timescale: long, duration: long, samples: long, "
+    "key_ranges: array<struct<begin: long, end: long>>>>"
+)
+
+def described(track: Track) -> dict:
+    """The fields of one track in ``TRACKS``; ``key_ranges`` as rows of begin and end."""
+    return {
+        "codec": track.codec,
+        "handler": track.handler,
+        "timescale": track.timescale,
+        "duration": None if track.duration == _UNKNOWN else track.duration,
+        "samples": len(track.sizes),
+        "key_ranges": track.key_ranges(),
+    }
+
+
+def _bounds(lists: list) -> pa.Array:
+    return pa.array(np.cumsum([0, *(len(x) for x in lists)]), pa.int32())
+
+
+def track_column(found: list[list[dict] | None]) -> pa.ListArray:
+    """Described tracks of many containers as a column of type ``TRACKS``."""
+    flat = [t for own in found for t in own or []]
+    ranges = np.concatenate([np.zeros((0, 2), np.int64), *(t["key_ranges"] for t in flat)])
+    pairs = pa.StructArray.from_arrays([pa.array(ranges[:, 0]), pa.array(ranges[:, 1])], names=["begin", "end"])
+    kinds = {"codec": pa.string(), "handler": pa.string(), "timescale": pa.int64(), "duration": pa.int64(), "samples": pa.int64()}
+    fields = [pa.array([t[k] for t in flat], kind) for k, kind in kinds.items()]
+    fields.append(pa.ListArray.from_arrays(_bounds([t["key_ranges"] for t in flat]), pairs))
+    structs = pa.StructArray.from_arrays(fields, names=[*kinds, "key_ranges"])
+    missing = pa.array([own is None for own in found], pa.bool_())
+    return pa.ListArray.from_arrays(_bounds([own or [] for own in found]), structs, mask=missing)
+
+
+def media_tracks(frame: DataFrame, column: str = "media") -> DataFrame:
+    """``frame`` with ``tracks`` in place of the binary ``column``."""
+    others = [c for c in frame.columns if c != column]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, column):
+                found = [
+                    None if raw is None else [described(t) for t in tracks(memoryview(raw))]
+                    for raw in rows.column(column).to_pylist()
+                ]
+                columns = [*(rows.column(c) for c in others), track_column(found)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*others, "tracks"])
+
+    schema = frame.select(*(F.col(f"`{c}`") for c in others)).schema
+    return frame.mapInArrow(read, schema.add("tracks", DataType.fromDDL(TRACKS)))
+
+
+def feature(track: dict) -> str:
+    """Codec, clock, length and keyframes of a described track as one line."""
+    ranges, duration = track["key_ranges"], track["duration"]
+    seconds = (duration or 0) / track["timescale"] if track["timescale"] else 0
     return (
-        f"codec={track.codec} handler={track.handler} rate={track.timescale} duration={track.duration}"
-        f" seconds={seconds:.3f} samples={len(track.sizes)} keyframes={len(ranges)}"
+        f"codec={track['codec']} handler={track['handler']} rate={track['timescale']} duration={duration}"
+        f" seconds={seconds:.3f} samples={track['samples']} keyframes={len(ranges)}"
         f" ranges={zlib.crc32(ranges.astype('<i8').tobytes()):08x}"
     )
 
@@ -233,39 +298,42 @@ def stored_media(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(made, "doc_id long, n_bytes long, media binary")
 
 
+DIGEST = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tracks")
 DIGEST_SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string"
+    f"media_sha256 string, feature string, tracks {TRACKS}"
 )
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """What the stored containers hold, from their tables and from the payload read back through them."""
+    """What the stored containers hold, from their tables and from the payload read back through them.
+
+    The payloads of several tracks are taken one after the other, and their features are lines of one string.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in DIGEST_SCHEMA.split(", ")]
+        names = ["doc_id", "n_bytes", *DIGEST]
         for batch in batches:
-            out = []
-            for doc_id, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-                data = memoryview(raw)
-                (track,) = tracks(data)
-                payload = track.payload(data)
-                out.append(
-                    (
-                        doc_id,
-                        n,
-                        len(payload),
-                        hashlib.sha256(payload).hexdigest(),
-                        zlib.crc32(payload[-FRAME:]),
-                        len(raw),
-                        hashlib.sha256(raw).hexdigest(),
-                        feature(track),
+            for rows in slices(batch, "media"):
+                out, found = [], []
+                for raw in rows.column("media").to_pylist():
+                    data = memoryview(raw)
+                    own = tracks(data)
+                    found.append([described(t) for t in own])
+                    payload = b"".join(t.payload(data) for t in own)
+                    out.append(
+                        (
+                            len(payload),
+                            hashlib.sha256(payload).hexdigest(),
+                            zlib.crc32(payload[-FRAME:]),
+                            len(raw),
+                            hashlib.sha256(raw).hexdigest(),
+                            "\n".join(map(feature, found[-1])),
+                        )
                     )
-                )
-            if out:
-                columns = [pa.array(c) for c in zip(*out, strict=True)]
-                columns[0] = columns[0].cast(pa.int64())
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                if out:
+                    columns = [rows.column("doc_id"), rows.column("n_bytes"), *map(pa.array, zip(*out, strict=True))]
+                    yield pa.RecordBatch.from_arrays([*columns, track_column(found)], names=names)
 
     return media.mapInArrow(read, DIGEST_SCHEMA)
 

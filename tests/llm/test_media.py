@@ -72,3 +72,62 @@ def test_digest(spark, awkward, awkward_rows, empty_docs):
     assert stored[2] == stored[3] and stored[2][1] == hashlib.sha256(M.container(bytes(64))).hexdigest()
     assert M.media_round_trip(empty_docs).collect() == []
     assert np.all([r.media_bytes > r.payload_bytes for r in got])
+
+
+def two_tracks():
+    """Sound and video in one file: two samples of sound, four of video with keyframes 1 and 3."""
+    video, sound = [b"KEY1", b"d", b"KEY22", b"dd"], [b"so", b"und"]
+
+    def trak(kind, codec, clock, duration, sizes, at, *keys):
+        table = M.box(
+            b"stbl",
+            M.full_box(b"stsd", struct.pack(">I", 1), M.box(codec, bytes(8))),
+            M.full_box(b"stts", struct.pack(">III", 1, len(sizes), duration // len(sizes))),
+            M.full_box(b"stsc", struct.pack(">IIII", 1, 1, len(sizes), 1)),
+            M.full_box(b"stsz", struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)),
+            M.full_box(b"stco", struct.pack(">II", 1, at)),
+            *([M.full_box(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys))] if keys else []),
+        )
+        mdhd = M.full_box(b"mdhd", struct.pack(">IIIIHH", 0, 0, clock, duration, 0, 0))
+        hdlr = M.full_box(b"hdlr", bytes(4), kind, bytes(12), b"\0")
+        return M.box(b"trak", M.box(b"mdia", mdhd, hdlr, M.box(b"minf", table)))
+
+    def moov(at):
+        sizes = [len(x) for x in sound]
+        first = trak(b"soun", b"mp4a", 8000, 4000, sizes, at)
+        return M.box(b"moov", first, trak(b"vide", b"avc1", 600, 1200, [len(x) for x in video], at + sum(sizes), 1, 3))
+
+    return moov(len(moov(0)) + 8) + M.box(b"mdat", *sound, *video)
+
+
+def test_tracks_as_columns(spark):
+    """Every track's codec, clock and keyframe ranges are in the result; other columns and nulls are kept."""
+    raw, text = two_tracks(), bytes(range(256)) * 12
+    rows = [(1, bytearray(raw), "a"), (2, None, "b"), (3, bytearray(M.container(M.padded(text))), None)]
+    got = M.media_tracks(spark.createDataFrame(rows, "k int, `the film` binary, note string"), "the film")
+    assert got.columns == ["k", "note", "tracks"]
+    found = {r.k: r for r in got.collect()}
+    assert found[2].tracks is None and [found[k].note for k in (1, 2, 3)] == ["a", "b", None]
+    sound, video = found[1].tracks
+    assert (sound.codec, sound.handler, sound.timescale, sound.duration, sound.samples) == ("mp4a", "soun", 8000, 4000, 2)
+    assert (video.codec, video.handler, video.timescale, video.duration, video.samples) == ("avc1", "vide", 600, 1200, 4)
+    assert [raw[a:b] for a, b in sound.key_ranges] == [b"so", b"und"]
+    assert [raw[a:b] for a, b in video.key_ranges] == [b"KEY1", b"KEY22"]
+    (only,) = found[3].tracks
+    assert [rows[2][1][a:b] for a, b in only.key_ranges] == [text[i : i + 64] for i in range(0, len(text), 1024)]
+    assert M.media_tracks(spark.createDataFrame([], "media binary")).collect() == []
+
+
+def test_digest_of_several_tracks(spark):
+    raw = two_tracks()
+    (got,) = M.media_digest(spark.createDataFrame([(1, 17, bytearray(raw))], "doc_id long, n_bytes long, media binary")).collect()
+    assert got.payload_sha256 == hashlib.sha256(b"soundKEY1dKEY22dd").hexdigest()
+    assert [line.split()[0] for line in got.feature.split("\n")] == ["codec=mp4a", "codec=avc1"]
+    for line, track in zip(got.feature.split("\n"), got.tracks, strict=True):
+        packed = b"".join(struct.pack("<qq", a, b) for a, b in track.key_ranges)
+        assert line.endswith(f"keyframes={len(track.key_ranges)} ranges={zlib.crc32(packed):08x}")
+
+
+def test_fragments_are_refused():
+    with pytest.raises(ValueError, match="fragmented"):
+        M.tracks(memoryview(M.container(bytes(64)) + M.box(b"moof", M.box(b"traf"))))
