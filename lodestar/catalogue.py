@@ -222,7 +222,7 @@ def table_save_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     session, where = session_over(spark, sf_dir), scratch(spark)
     session.save_table("orders", where, 8192)
     session.attach("saved", where)
-    return session.query("SELECT s.o_orderkey, o.o_totalprice FROM saved s JOIN orders o ON s.o_orderkey = o.o_orderkey WHERE s.o_orderkey <= 500")
+    return session.query("SELECT s.*, o.o_totalprice AS price FROM saved s JOIN orders o ON s.o_orderkey = o.o_orderkey")
 
 
 STATEMENTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
@@ -233,7 +233,7 @@ STATEMENTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "table_drop_create": (table_drop_create, "SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS a"),
     "table_import_csv": (table_import_csv, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation WHERE n_regionkey > 1"),
     "table_copy_csv": (table_copy_csv, "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name, CAST(n_regionkey AS DOUBLE) AS region FROM nation"),
-    "table_save_attach": (table_save_attach, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey <= 500"),
+    "table_save_attach": (table_save_attach, "SELECT * REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate), o_totalprice AS price FROM orders"),
 }
 
 

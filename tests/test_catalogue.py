@@ -49,3 +49,13 @@ def test_benchmark_cases_agree_without_pruning(spark):
     found = measured(spark, 20_000)
     assert [f[0] for f in found] == list(cases(20_000)) and all(f[4] for f in found)
     assert {f[0]: f[3] for f in found}["selective_range"] == 399
+
+
+def test_saved_table_is_read_back_whole(spark, duck):
+    """Every row of every row group, with the saved values of all columns."""
+    got = catalogue.queries()["table_save_attach"](spark, SF)
+    columns = [d[0] for d in duck.execute("SELECT * FROM orders LIMIT 0").description]
+    assert got.columns == [*columns, "price"]
+    rows = got.collect()
+    assert sorted(r.o_orderkey for r in rows) == [k for (k,) in duck.execute("SELECT o_orderkey FROM orders ORDER BY 1").fetchall()]
+    assert all(r.o_totalprice == r.price for r in rows)
