@@ -136,15 +136,16 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "join_mixed_type_key": ("SELECT o.o_orderkey FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_quantity * 2", None),
     "join_agg": ("SELECT n.n_name AS name, count(*) AS customers, max(c.c_acctbal) AS top FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name ORDER BY customers DESC, name", None),
     # Sort, limit
-    "sort_asc": (f"SELECT l_orderkey, l_linenumber, {NQ} AS q FROM lineitem ORDER BY q, l_orderkey, l_linenumber LIMIT 50", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {NQ} AS q FROM lineitem ORDER BY q ASC NULLS LAST, l_orderkey, l_linenumber LIMIT 50"),
-    "sort_desc": (f"SELECT l_orderkey, l_linenumber, {NQ} AS q FROM lineitem ORDER BY q DESC, l_orderkey, l_linenumber LIMIT 50", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {NQ} AS q FROM lineitem ORDER BY q DESC NULLS FIRST, l_orderkey, l_linenumber LIMIT 50"),
-    "sort_nulls_first": (f"SELECT l_orderkey, l_linenumber, {NQ} AS q FROM lineitem ORDER BY q ASC NULLS FIRST, l_orderkey, l_linenumber LIMIT 50", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {NQ} AS q FROM lineitem ORDER BY q ASC NULLS FIRST, l_orderkey, l_linenumber LIMIT 50"),
-    "sort_nulls_last": (f"SELECT l_orderkey, l_linenumber, {NQ} AS q FROM lineitem ORDER BY q DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 50", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {NQ} AS q FROM lineitem ORDER BY q DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 50"),
-    "sort_multi": ("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderstatus DESC, o_totalprice ASC, o_orderkey LIMIT 40", None),
-    "sort_unselected": ("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", None),
-    "sort_alias": ("SELECT o_orderkey, -o_totalprice AS o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20", "SELECT o_orderkey, -o_totalprice AS o_totalprice FROM orders ORDER BY -orders.o_totalprice, o_orderkey LIMIT 20"),
-    "sort_ordinal": ("SELECT o_custkey, o_orderkey FROM orders ORDER BY 1 DESC, 2 LIMIT 20", None),
-    "sort_agg": ("SELECT l_suppkey FROM lineitem GROUP BY l_suppkey ORDER BY count(*) DESC, l_suppkey LIMIT 10", None),
+    "sort_asc": (f"SELECT l_orderkey, l_linenumber, {NQ} AS q FROM lineitem ORDER BY q, l_orderkey, l_linenumber", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {NQ} AS q FROM lineitem ORDER BY q ASC NULLS LAST, l_orderkey, l_linenumber"),
+    "sort_desc": (f"SELECT l_orderkey, l_linenumber, {NQ} AS q FROM lineitem ORDER BY q DESC, l_orderkey, l_linenumber", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {NQ} AS q FROM lineitem ORDER BY q DESC NULLS FIRST, l_orderkey, l_linenumber"),
+    "sort_nulls_first": (f"SELECT l_orderkey, l_linenumber, {NQ} AS q FROM lineitem ORDER BY q ASC NULLS FIRST, l_orderkey, l_linenumber", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {NQ} AS q FROM lineitem ORDER BY q ASC NULLS FIRST, l_orderkey, l_linenumber"),
+    "sort_nulls_last": (f"SELECT l_orderkey, l_linenumber, {NQ} AS q FROM lineitem ORDER BY q DESC NULLS LAST, l_orderkey, l_linenumber", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {NQ} AS q FROM lineitem ORDER BY q DESC NULLS LAST, l_orderkey, l_linenumber"),
+    "sort_multi": ("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderstatus DESC, o_totalprice ASC, o_orderkey", None),
+    "sort_unselected": ("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey", None),
+    "sort_alias": ("SELECT o_orderkey, -o_totalprice AS o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey", "SELECT o_orderkey, -o_totalprice AS o_totalprice FROM orders ORDER BY -orders.o_totalprice, o_orderkey"),
+    "sort_ordinal": ("SELECT o_custkey, o_orderkey FROM orders ORDER BY 1 DESC, 2", None),
+    "sort_agg": ("SELECT l_suppkey FROM lineitem GROUP BY l_suppkey ORDER BY count(*) DESC, l_suppkey", None),
+    "top_k_report": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", None),
     "limit": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7", None),
     "offset": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 14000", None),
     "limit_offset": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 5 OFFSET 100", None),
@@ -153,10 +154,10 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "distinct": ("SELECT DISTINCT o_orderstatus FROM orders", None),
     "distinct_multi": ("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem", None),
     "distinct_null": (f"SELECT DISTINCT {NQ} AS q FROM lineitem", None),
-    "distinct_order": ("SELECT DISTINCT l_quantity AS q FROM lineitem ORDER BY q DESC LIMIT 5", None),
+    "distinct_order": ("SELECT DISTINCT l_quantity AS q FROM lineitem ORDER BY q DESC", None),
     "distinct_order_unselected": (
-        "SELECT DISTINCT o_custkey FROM orders ORDER BY o_totalprice DESC LIMIT 10",
-        "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY max(o_totalprice) DESC LIMIT 10",
+        "SELECT DISTINCT o_custkey FROM orders ORDER BY o_totalprice DESC",
+        "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY max(o_totalprice) DESC",
     ),
     # The flagship
     "pricing_summary": (

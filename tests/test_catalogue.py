@@ -59,3 +59,15 @@ def test_saved_table_is_read_back_whole(spark, duck):
     rows = got.collect()
     assert sorted(r.o_orderkey for r in rows) == [k for (k,) in duck.execute("SELECT o_orderkey FROM orders ORDER BY 1").fetchall()]
     assert all(r.o_totalprice == r.price for r in rows)
+
+
+SORTED = ["sort_asc", "sort_desc", "sort_nulls_first", "sort_nulls_last", "sort_multi", "sort_unselected", "sort_alias", "sort_ordinal", "sort_agg", "distinct_order", "distinct_order_unselected"]
+
+
+@pytest.mark.parametrize("name", SORTED)
+def test_sorts_return_every_row_in_order(spark, duck, name):
+    """As many rows as without an order, and in the order that DuckDB gives them."""
+    unsorted = catalogue.QUERIES[name][0].split(" ORDER BY ")[0]
+    got = catalogue.queries()[name](spark, SF).collect()
+    assert len(got) == duck.execute(f"SELECT count(*) FROM ({unsorted})").fetchone()[0]
+    assert [tuple(r) for r in got] == duck.execute(catalogue.oracle_sql()[name]).fetchall()
