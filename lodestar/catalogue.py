@@ -104,8 +104,8 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "having_global": ("SELECT count(*) AS n FROM orders HAVING count(*) > 10", None),
     # Joins
     "join_inner": ("SELECT c.c_name, o.o_orderkey FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey", None),
-    "join_left": ("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_custkey < 100", None),
-    "join_right": ("SELECT c.c_custkey, o.o_orderkey FROM customer c RIGHT OUTER JOIN orders o ON c.c_custkey = o.o_custkey AND c.c_custkey < 50", None),
+    "join_left": ("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000", None),
+    "join_right": ("SELECT c.c_custkey, o.o_orderkey FROM customer c RIGHT OUTER JOIN orders o ON c.c_custkey = o.o_custkey AND c.c_acctbal > 4000", None),
     "join_full": ("SELECT c.c_custkey, o.o_orderkey FROM customer c FULL JOIN orders o ON c.c_custkey = o.o_custkey + 60", None),
     "join_left_residual": ("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 100000", None),
     "join_full_residual": ("SELECT c.c_custkey, o.o_orderkey FROM customer c FULL JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 100000", None),

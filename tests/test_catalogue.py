@@ -71,3 +71,12 @@ def test_sorts_return_every_row_in_order(spark, duck, name):
     got = catalogue.queries()[name](spark, SF).collect()
     assert len(got) == duck.execute(f"SELECT count(*) FROM ({unsorted})").fetchone()[0]
     assert [tuple(r) for r in got] == duck.execute(catalogue.oracle_sql()[name]).fetchall()
+
+
+@pytest.mark.parametrize("name", ["join_left", "join_right"])
+def test_outer_joins_match_and_pad_at_any_key(spark, name):
+    """Matched rows aren't held to the lowest customers, and some rows are padded."""
+    rows = [tuple(r) for r in catalogue.queries()[name](spark, SF).collect()]
+    matched = [c for c, o in rows if c is not None and o is not None]
+    customers = spark.read.parquet(f"{SF}/customer.parquet").count()
+    assert max(matched) >= 0.9 * customers and len(matched) < len(rows)
