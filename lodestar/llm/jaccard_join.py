@@ -36,6 +36,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import released, removed, stored
 from .components import components
@@ -488,8 +489,11 @@ def _crossings(shared: DataFrame, firsts: DataFrame, labels: DataFrame, buckets:
     return stored(rows.mapInArrow(_crossing, "a long, b long").distinct(), "pairs")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles and component_id."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per row of ``docs`` doc_id, n and sid; and per sid the lowest id of its component and whether it ``keeps``.
+
+    One set of a component keeps: the least of those that the lowest id has. Both stored.
+    """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
@@ -515,12 +519,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = firsts.join(final.withColumnRenamed("node", "sid"), "sid", "left").select(
         "sid", "first_doc", F.coalesce("label", "sid").alias("label")
     )
-    lowest = least.groupBy("label").agg(F.min("first_doc").alias("lowest"))
-    named_sets = stored(least.join(lowest, "label").select("sid", "lowest"), "classes")
+    lowest = least.groupBy("label").agg(F.min(F.struct("first_doc", F.col("sid").alias("keeper"))).alias("least"))
+    named_sets = stored(
+        least.join(lowest, "label").select(
+            "sid", F.col("least.first_doc").alias("lowest"), (F.col("sid") == F.col("least.keeper")).alias("keeps")
+        ),
+        "classes",
+    )
     for done in (shared, stars, first, labels, crossing, second, firsts):
         removed(spark, done)
     released(spark)
-    joined = summaries.select("doc_id", "n", "sid").join(named_sets, "sid", "left")
+    return summaries.select("doc_id", "n", "sid"), named_sets
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles and component_id."""
+    summaries, named_sets = _classes(docs)
+    joined = summaries.join(named_sets, "sid", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("lowest"))
     return joined.select(
         "doc_id",
@@ -529,8 +544,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _with_sets(docs: DataFrame) -> DataFrame:
+    """``docs`` with the size and the id of each row's set, ``_n`` and ``_sid``."""
+    names = [*docs.columns, "_n", "_sid"]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                values, bounds = shingle_sets(whole_texts(rows.column("text")))
+                arrays = [*rows.columns, pa.array(np.diff(bounds)), pa.array(set_ids(values, bounds)[0])]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return docs.mapInArrow(made, StructType([*docs.schema.fields, StructField("_n", LongType()), StructField("_sid", LongType())]))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that have a lower id in their component; rows without an id stay."""
-    found = near_duplicates(docs)
-    gone = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component of ``docs``, of those with its lowest id; rows without an id or a set stay.
+
+    A document is an id with a set: rows that share an id are judged by their own sets, and where one component has
+    several sets of its lowest id, one of them stays. Repeated rows of the document that stays all stay.
+    """
+    summaries, named_sets = _classes(docs)
+    joined = summaries.filter(F.col("doc_id").isNotNull()).join(named_sets, "sid", "left")
+    out = (F.col("n") > 0) & ~(F.col("keeps") & (F.col("doc_id") == F.col("lowest")))
+    by_id = joined.groupBy("doc_id").agg((F.count("*") > 1).alias("shared"), F.max(out).alias("out"))
+    marked = stored(by_id.filter("shared OR out"), "marked")
+    once = docs.join(marked.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # Few as a rule, if any; kept apart so that the texts of all others aren't moved for them.
+    shared = stored(marked.filter("shared").select("doc_id"), "shared")
+    rows = _with_sets(docs.join(shared, "doc_id", "left_semi").select(*docs.columns))
+    keepers = named_sets.filter("keeps").select(F.col("lowest").alias("doc_id"), F.col("sid").alias("_sid"))
+    kept = rows.filter("_n > 0").join(keepers, ["doc_id", "_sid"], "left_semi").unionByName(rows.filter("_n = 0"))
+    return once.unionByName(kept.select(*docs.columns))

@@ -184,3 +184,35 @@ def test_long_path_of_components(spark):
     rng.shuffle(nodes)
     got = components(spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long"))
     assert {r.node: r.label for r in got.collect()} == dict.fromkeys(nodes, 0)
+
+
+def test_one_of_each_with_shared_ids(spark, prose):
+    """One document of each component by brute force, where ids repeat, texts are near or exact copies, or both."""
+    rng = random.Random(5)
+    base = [prose(80, 900 + k).split() for k in range(6)]
+    near = lambda k: " ".join([*base[k][:-1], f"changed{rng.randrange(3)}"])
+    rows = [(1, " ".join(base[0])), (5, " ".join(base[0])), (5, " ".join(base[1])), (7, near(2)), (7, near(2)), (7, " ".join(base[2]))]
+    rows += [(8, " ".join(base[3]))] * 3 + [(None, " ".join(base[3])), (9, ""), (9, None), (9, "few words")]
+    rows += [(rng.randrange(4, 12), rng.choice([near, lambda k: " ".join(base[k])])(k)) for k in range(6) for _ in range(4)]
+    rows = [(i, t, n) for n, (i, t) in enumerate(rows)]
+
+    sets = [shingles(text or "") for _, text, _ in rows]
+    named = [n for n, (i, _, _) in enumerate(rows) if i is not None and sets[n]]
+    group = {n: n for n in named}
+    for a in named:
+        for b in named:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                group = {n: group[a] if g == group[b] else g for n, g in group.items()}
+    want = {g: min(rows[n][0] for n in named if group[n] == g) for g in group.values()}
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(3)
+    got = one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert all(r == rows[r[2]] for r in kept) and len({r[2] for r in kept}) == len(kept)
+    assert {g: i for g, i in ((group[r[2]], r[0]) for r in kept if r[2] in group)} == want
+    for g, lowest in want.items():
+        (one,) = {frozenset(sets[r[2]]) for r in kept if group.get(r[2]) == g}
+        alike = {n for n in named if group[n] == g and rows[n][0] == lowest and sets[n] == one}
+        assert {r[2] for r in kept if group.get(r[2]) == g} == alike
+    assert {r[2] for r in kept if r[2] not in group} == {n for n in range(len(rows)) if n not in group}
