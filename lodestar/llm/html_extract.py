@@ -31,10 +31,15 @@ from .segments import gathered, slices
 from .words import Adam, coded_words, run_sums, sigmoid, word_bytes, word_hashes
 
 _ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^>"']++)*+"""
+#: Skipped with their content; only raw text runs to the page's end where its end tag is missing. Of the others the last
+#: ones can't hold their own kind. Where their end tag is missing they are tags like any other.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(script|style|noscript|template|textarea|select|svg|iframe|object|button|title)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
-    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES}|[^>]*)>"
+    rf"|<(?P<raw>script|style|textarea|title)\b{_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<svg\b{_ATTRIBUTES}(?<=/)>"
+    rf"|<(?P<deep>svg|object|template)\b{_ATTRIBUTES}>.*?</(?P=deep)\s*>"
+    rf"|<(?P<flat>button|select|iframe|noscript)\b{_ATTRIBUTES}>(?:(?!<(?P=flat)\b).)*?</(?P=flat)\s*>"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>{_ATTRIBUTES}|[^>]*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -108,11 +113,11 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
-        name = m[3]
+        name = m["name"]
         if name is None:
             continue
         name = name.lower()
-        if m[2]:
+        if m["end"]:
             block = name in BLOCK
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
@@ -145,7 +150,7 @@ def blocks(page: str) -> list[Block]:
                     elif stack[depth][0] in SCOPE:
                         break
         if name not in VOID:
-            stack.append((name, _names(name, m[4])))
+            stack.append((name, _names(name, m["rest"])))
             links += name == "a"
     if at < len(page):
         say(page[at:])

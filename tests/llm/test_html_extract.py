@@ -102,3 +102,19 @@ def test_awkward_rows(spark, network):
     assert [r[0] for r in got] == [None, 1, 1, 2, 3] and all(r[3] == len(r[2]) for r in got)
     assert got[1] == got[2] and got[0][2] == got[3][2] == "" and got[4][2].count("\n") > 4900
     assert H.extracted(df.limit(0), network).collect() == []
+
+
+@pytest.mark.parametrize(
+    "middle",
+    ['<svg width="1"/>', "<svg />", "<svg><path/></svg>", "<object data='x'>", "<button>", "<select>", "<iframe src='x'>"]
+    + ["<button>Send</button>", "<select><option>x</select>", "<noscript>"],
+)
+def test_text_after_unclosed_elements_stays(middle):
+    page = f"<article><p>a</p>{middle}<p>b</p></article>"
+    assert [b.text for b in H.blocks(page)] == ["a", "b"]
+    assert [b.text for b in H.blocks(f"{page}<button>Send</button><p>c</p>")] == ["a", "b", "c"]
+
+
+def test_raw_text_runs_to_the_end():
+    for name in ("script", "style", "textarea", "title"):
+        assert [b.text for b in H.blocks(f"<p>a</p><{name}>x<p>b</p>")] == ["a"]
