@@ -6,8 +6,9 @@ labelled sample gives its word hash and its n-grams. Texts are read in overlappi
 different word of a slice, so a step of the recurrence costs one small product a window.
 
 The network is trained on the driver on at most ``PER_CLASS`` labelled rows a class (two-fold log-odds, so that it
-doesn't learn its own counts), from the windows with the highest log-odds of each text. The model, some MB whose size
-doesn't depend on the data, goes to the workers with the function.
+doesn't learn its own counts), from the ``PER_TEXT`` windows with the highest log-odds of each text. That bounds training
+only: calibration and scoring use every window, but a toxic window ranked lower in a long labelled text isn't learned
+from. The model, some MB whose size doesn't depend on the data, goes to the workers with the function.
 
 Null and empty texts are read as one empty window. With no labels, or labels of one class only, every score is that
 class's share (0 without labels). Repeated rows get equal scores; null ids are scored and carried along; other columns
@@ -38,6 +39,8 @@ RATE = 0.01
 #: Least number of training steps, for small samples.
 STEPS = 400
 PER_CLASS = 1800
+#: Most windows of a labelled text that the network is trained on; scoring and calibration read all.
+PER_TEXT = 8
 TOXIC = 0.7
 
 
@@ -253,7 +256,7 @@ def _calibrated(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 6, seed: int = 0, per_text: int = 8, batch: int = 32) -> Model:
+def fit(rows: list[tuple[str, int]], epochs: int = 6, seed: int = 0, per_text: int = PER_TEXT, batch: int = 32) -> Model:
     """A model from (text, label) rows."""
     y = np.array([label for _, label in rows], np.int64)
     if not len(y) or y.min() == y.max():

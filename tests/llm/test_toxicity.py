@@ -1,5 +1,6 @@
 """The recurrent toxicity model: gradients, windows, held-out accuracy and awkward rows."""
 
+import inspect
 import random
 
 import numpy as np
@@ -109,3 +110,8 @@ def test_coded_words_drop_only_white_space():
     words, at, bounds = coded_words(pa.array(texts, pa.large_string()))
     pool = words.to_pylist()
     assert [[pool[i] for i in at[a:b]] for a, b in zip(bounds, bounds[1:])] == [["a", "b", "c"], [], ["é\x1cf"]]
+
+
+def test_the_bound_on_training_windows_is_named_and_documented():
+    assert inspect.signature(T.fit).parameters["per_text"].default == T.PER_TEXT == 8
+    assert "``PER_TEXT``" in T.__doc__
