@@ -6,9 +6,10 @@ encoded one by one. Arrow splits and dictionary-encodes them, and each different
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,28 @@ import pyarrow.compute as pc
 
 CUT = re.compile(r" (?=\S)")
 
+#: Behind a line feed that follows no white space, and before an ASCII letter or digit.
+LINE = re.compile(r"(?<=\S\n)(?=[A-Za-z0-9])")
+
+#: Marks that end words; none is part of the text of a special token.
+MARKS = b".,;:!?#$%&*\n"
+#: Longer runs of marks stay with their word.
+MOST_MARKS = 4
+
+
+def _bytes(some: Iterable[int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[*some]] = True
+    return out
+
+
+_IS_MARK = _bytes(MARKS)
+_IS_PLAIN = _bytes(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+#: First bytes of white space: ASCII, and those of U+0085, U+00A0, U+1680, U+2000 and after, U+3000.
+_MAY_BE_SPACE = _bytes([*range(0x21), 0xC2, 0xE1, 0xE2, 0xE3])
+#: Second bytes of the letters from U+00C0 to U+00FF.
+_IS_LATIN = _bytes({*range(0x80, 0xC0)} - {0x97, 0xB7})
+
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most_bytes`` of text at most; a longer text stands alone and stays whole."""
@@ -37,19 +60,65 @@ def whole_texts(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def _open_to_the_left(dictionary: pa.Array, words: list[str]) -> np.ndarray:
+def _open_to_the_left(words: pa.Array) -> np.ndarray:
     """Which words are empty or begin with white space, so that a cut before them may not be one."""
-    lengths = pc.binary_length(dictionary).to_numpy(zero_copy_only=False)
-    out = lengths == 0
-    _, offsets, data = dictionary.buffers()
+    out = pc.binary_length(words).to_numpy(zero_copy_only=False) == 0
+    _, offsets, data = words.buffers()
     if len(words) and data is not None and data.size:
-        starts = np.frombuffer(offsets, np.int64)[dictionary.offset :][: len(words)]
+        starts = np.frombuffer(offsets, np.int64)[words.offset :][: len(words)]
         first = np.frombuffer(data, np.uint8)[np.minimum(starts, data.size - 1)]
-        for i in np.flatnonzero(~out & ((first <= 0x20) | (first >= 0x80))).tolist():
-            out[i] = words[i][0].isspace()
+        unsure = np.flatnonzero(~out & _MAY_BE_SPACE[first])
+        out[unsure] = [w[0].isspace() for w in words.take(pa.array(unsure)).to_pylist()]
     return out
 
 
+def _strings(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _without_marks(words: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """The words without the marks that some end with, the marks, and which words had some.
+
+    Marks after a letter or digit are where every pre-tokenizer of the family cuts, so they are a segment by themselves.
+    """
+    n = len(words)
+    _, offsets, data = words.buffers()
+    if not n or data is None or not data.size:
+        return words, words.slice(0, 0), np.zeros(n, bool)
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + n + 1]
+    raw, begin = np.frombuffer(data, np.uint8), ends[:-1]
+    run, open_ = np.zeros(n, np.int64), np.arange(n)
+    for _ in range(MOST_MARKS + 1):
+        last = ends[1:][open_] - 1 - run[open_]
+        open_ = open_[(last > begin[open_]) & _IS_MARK[raw[np.maximum(last, 0)]]]
+        run[open_] += 1
+    last = ends[1:] - 1 - run
+    # A letter of two bytes, of those that all editions of Unicode have.
+    wide = (last > begin) & (raw[np.maximum(last - 1, 0)] == 0xC3) & _IS_LATIN[raw[np.maximum(last, 0)]]
+    marked = (run > 0) & (run <= MOST_MARKS) & (_IS_PLAIN[raw[np.maximum(last, 0)]] | wide)
+    run[~marked] = 0
+    own = raw[ends[0] : ends[-1]]
+    cut = np.zeros(len(own), bool)
+    cut[gathered(ends[1:] - run - ends[0], run)] = True
+    return _strings(np.diff(ends) - run, own[~cut]), _strings(run[marked], own[cut]), marked
+
+
+def _lines(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words cut behind line feeds: all first parts, then the others; how many parts each has, and where its others begin."""
+    parts = np.ones(len(words), np.int64)
+    rows = np.flatnonzero(pc.match_substring(words, "\n").to_numpy(zero_copy_only=False))
+    cut = [LINE.split(w) for w in words.take(pa.array(rows)).to_pylist()]
+    parts[rows] = [*map(len, cut)]
+    others = np.cumsum(parts - 1) - (parts - 1) + len(words)
+    if len(rows):
+        firsts = np.zeros(len(words), bool)
+        firsts[rows] = True
+        heads = pc.replace_with_mask(words, pa.array(firsts), pa.array([c[0] for c in cut], words.type))
+        words = pa.concat_arrays([heads, pa.array([w for c in cut for w in c[1:]], words.type)])
+    return words, parts, others
+
+
 def segments(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The different segments, the segment number at each place, and where each text's places begin and end."""
     if not len(texts):
@@ -58,13 +127,39 @@ def segments(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     bounds = split.offsets.to_numpy().astype(np.int64)
     bounds -= bounds[0]
     coded = pc.dictionary_encode(split.flatten())
-    words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.array(coded.indices, np.int32)
-    glued = _open_to_the_left(coded.dictionary, words)[at]
-    first = np.zeros(len(at), bool)
+    place = np.array(coded.indices, np.int32)
+    first = np.zeros(len(place), bool)
     first[bounds[:-1]] = True
-    at[first] += len(words)
-    odd = np.flatnonzero(np.add.reduceat(glued & ~first, bounds[:-1]))
-    pool = [" " + w for w in words] + words
+    cut, parts, others = _lines(coded.dictionary)
+    bare, ending, marked = _without_marks(cut)
+    stems, endings = pc.dictionary_encode(bare), pc.dictionary_encode(ending)
+    n = len(stems.dictionary)
+    odd_words = _open_to_the_left(coded.dictionary)
+    odd = np.flatnonzero(np.add.reduceat(odd_words[place] & ~first, bounds[:-1])) if odd_words.any() else ()
+    # Numbers of segments: words behind a space, words without one, marks. Each part of a word is one or two of them.
+    spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), stems.dictionary, pa.scalar(" ", pa.large_string()))
+    pool = pa.concat_arrays([spaced, stems.dictionary, endings.dictionary])
+    number = np.array(stems.indices, np.int32)
+    number[len(parts) :] += n
+    per_part = marked + np.int32(1)
+    flat = np.repeat(number, per_part)
+    begins = np.cumsum(per_part) - per_part
+    flat[begins[marked] + 1] = np.array(endings.indices, np.int32) + 2 * n
+    if len(cut) > len(parts):
+        # Parts lie apart; bring those of one word together.
+        order = np.argsort(np.concatenate([np.arange(len(parts)), np.repeat(np.arange(len(parts)), parts - 1)]), kind="stable")
+        flat = flat[gathered(begins[order], per_part[order])]
+        per_word = np.add.reduceat(per_part[order], np.cumsum(parts) - parts)
+    else:
+        per_word = per_part
+    # Numbers within a slice fit in 32 bits.
+    per_word = per_word.astype(np.int32)
+    begins = np.cumsum(per_word, dtype=np.int32) - per_word
+    per_place = per_word[place]
+    at = flat[gathered(begins[place], per_place)]
+    ends = np.concatenate([[0], np.cumsum(per_place, dtype=np.int64)])
+    at[ends[bounds[:-1]]] += n
+    bounds = ends[bounds]
     if len(odd):
         own, runs, numbers = set(odd.tolist()), [], {}
         for i in range(len(texts)):
@@ -74,13 +169,13 @@ def segments(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
                 runs.append(np.array(run, np.int32) + len(pool))
             else:
                 runs.append(at[bounds[i] : bounds[i + 1]])
-        pool += numbers
+        pool = pa.concat_arrays([pool, pa.array(list(numbers), pool.type)])
         at = np.concatenate(runs)
         bounds = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
     used = np.zeros(len(pool), bool)
     used[at] = True
     renumbered = np.cumsum(used, dtype=np.int32) - 1
-    return [s for s, u in zip(pool, used.tolist(), strict=True) if u], renumbered[at], bounds
+    return pool.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist(), renumbered[at], bounds
 
 
 def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -141,9 +236,15 @@ def json_encoder(path: str, remembered: int = 300_000) -> Encoder:
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.models import BPE
     from tokenizers.pre_tokenizers import WhitespaceSplit
 
-    tokenizer, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as lines:
+        model = json.load(lines)["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    # Words come to it once, so a memory of its own would only cost it time.
+    bare = Tokenizer(BPE(model["vocab"], merges, cache_capacity=0))
     bare.pre_tokenizer = WhitespaceSplit()
     symbols = _byte_symbols()
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
