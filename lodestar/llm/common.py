@@ -44,15 +44,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """At most so many rows an Arrow batch in the jobs that run inside, as texts can be long; then as it was."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs that run inside; then as they were."""
+    before = {key: spark.conf.get(key) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def arrow_rows(spark: SparkSession, rows: int):
+    """At most so many rows an Arrow batch in the jobs that run inside, as texts can be long; then as it was."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
 
 
 def removed(spark: SparkSession, df: DataFrame) -> None:

@@ -227,7 +227,7 @@ def _byte_symbols() -> dict[int, str]:
 
 
 @lru_cache(2)
-def json_encoder(path: str, remembered: int = 300_000) -> Encoder:
+def json_encoder(path: str, remembered: int = 500_000) -> Encoder:
     """An Encoder by the tokenizers library and one of its byte-level files, without special tokens added.
 
     A worker process keeps it from task to task. Segments that hold one space, at their start, are encoded many at a

@@ -5,8 +5,9 @@ at (ids of the part before this document) and token_ids. Parquet's column and of
 single documents or the metadata alone. The number of ids before a document is its part's base plus ``at``; bases come
 from one small row per written part.
 
-Null texts count as empty and hold the end id alone. A null doc_id sorts first. Equal ids are ordered by text. Other
-columns are ignored. An empty table writes no rows. The text of a special token inside a document is read as the
+Null texts count as empty and hold the end id alone. A null doc_id sorts first. Equal ids are ordered by the signed 64-bit
+hash of their text (``xxhash64``, null as 42), then by text, over all parts: that pair deals them out too, so one id may
+have any number of rows. Rows that agree in both are alike. Other columns are ignored. An empty table writes no rows. The text of a special token inside a document is read as the
 library reads it by default.
 """
 
@@ -20,11 +21,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import arrow_rows, shared_path
+from .common import settings, shared_path
 from .segments import json_encoder, slices, whole_texts
 
-FILE_SCHEMA = "doc_id long, n_tokens long, part int, at long, token_ids array<int>"
+FILE_SCHEMA = StructType(
+    [
+        StructField("doc_id", LongType()),
+        StructField("n_tokens", LongType()),
+        StructField("part", IntegerType()),
+        StructField("at", LongType()),
+        StructField("token_ids", ArrayType(IntegerType(), containsNull=False)),
+    ]
+)
 
 #: Parquet settings by encoding; "delta" is the second version of the format without a dictionary.
 ENCODINGS = {
@@ -33,10 +43,14 @@ ENCODINGS = {
 }
 
 
+#: Arrow batches of few rows, as texts can be long; and lists in two levels, a repeated number without a group around each,
+#: which Parquet's writer is much faster with. They hold no nulls.
+WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.writeLegacyFormat": "true"}
+
+
 def encode_batches(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Rows of FILE_SCHEMA for one sorted part."""
-    # Sorting and writing take memory beside the worker, so it remembers fewer segments than it might.
-    encode, part, before = json_encoder(tokenizer, 150_000), TaskContext.get().partitionId(), 0
+    encode, part, before = json_encoder(tokenizer, 400_000), TaskContext.get().partitionId(), 0
     for batch in batches:
         for rows in slices(batch, "text"):
             ids, offsets = encode(whole_texts(rows.column("text")), end_id)
@@ -65,13 +79,14 @@ def write_tokens(
     rows_per_page: int = 1000,
 ) -> None:
     """Write every document's ids, in ascending order of doc_id over the parts, to ``path``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    spread = F.xxhash64("text")
-    dealt = rows.repartitionByRange("doc_id", spread).sortWithinPartitions("doc_id", "text")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("spread")
+    )
+    dealt = rows.repartitionByRange("doc_id", "spread").sortWithinPartitions("doc_id", "spread", "text")
     encoded = dealt.mapInArrow(lambda batches: encode_batches(batches, tokenizer, end_id), FILE_SCHEMA)
     writer = encoded.write.option("compression", "zstd").option("parquet.block.size", row_group_bytes)
     writer = writer.option("parquet.page.row.count.limit", rows_per_page)
-    with arrow_rows(docs.sparkSession, 1000):
+    with settings(docs.sparkSession, WRITING):
         writer.options(**ENCODINGS[encoding]).parquet(path)
 
 
