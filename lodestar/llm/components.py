@@ -35,7 +35,8 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label) of every node that has an edge; the label is the least node of its component.
 
-    ``edges`` has two long columns a and b; loops and repeated edges do no harm. No edges, no rows.
+    ``edges`` has two columns a and b of one type that sorts, such as long or a struct of longs; loops and repeated edges
+    do no harm. No edges, no rows.
     """
     now = stored(edges.select("a", "b").filter("a <> b").distinct(), name)
     state = _state(now)

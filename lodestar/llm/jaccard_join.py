@@ -9,12 +9,17 @@ least 0.8 differ in at most (|r| + |s|) / 9 tokens, and their sizes fall in the
 * Empty segments agree between unrelated sets. A scheme has ``slack`` more segments than it needs, so a set with no more
   than that many empty ones leaves them out; only sets with more emit them. ``allocation`` weighs slack, deletions
   and the chance of too many empty segments, and picks the cheapest.
-* A set's keys are dealt out by hash as packed runs. Keys held by several different sets are its candidates.
+* A set's keys are dealt out by hash as packed runs, to a number of buckets that follows the number of tokens. Keys held
+  by several different sets are its candidates.
 * Round one links every member of a shared key to the key's busiest set; verified links merge into components. Round two
   looks only at keys that still hold several components. It compares sets of different components by parity
   bitmaps, whose Hamming distance never exceeds the true difference, and verifies what passes. Every pair of a key
   is so either in one component already, or ruled out exactly, or verified on the whole sets. No pairs of copies or of
-  one component are made, and nothing is capped.
+  a key's largest component are made, and nothing is capped. A key with more than ``BLOCK`` members is cut into blocks of
+  its largest component and of the others, and pairs of blocks are dealt out as units of their own: the comparisons of
+  unlinked members grow with the square of their number, but no task has more than some units of ``BLOCK`` squared.
+* Nodes of the component search are (lowest document, set), so a component's label is its lowest document, and no step
+  groups or joins by component.
 
 Equal sets are one node from the start (``sid``, checked against a second hash), so groups of exact copies of any size
 cost a row each. Texts without words, empty and null texts have an empty set and are linked with nothing. Documents that
@@ -46,6 +51,11 @@ SHINGLE = 5
 #: Similarity of at least 4/5, so sizes differ by a factor of 5/4 at most and sets by (r + s) / 9 tokens.
 SIMILAR = (80, 100)
 BITMAP_WORDS = 16
+#: Tokens of different sets a bucket of keys; a bucket's task sorts about half as many keys at once.
+TOKENS_PER_BUCKET = 4_000_000
+MOST_BUCKETS = 100_000
+#: Members of one key compared in one unit, on each side.
+BLOCK = 2000
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
@@ -353,6 +363,10 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sid), tokens], names=["sid", "tokens"])
 
 
+PAIR_SCHEMA = "a long, b long, a_doc long, b_doc long"
+PAIR = ["a", "b", "a_doc", "b_doc"]
+
+
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sizes and bitmaps don't rule similarity out."""
     for batch in batches:
@@ -362,7 +376,7 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in ("a_bitmap", "b_bitmap")
         )
         good = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (np.bitwise_count(x ^ y).sum(1) <= (n + m) // 9)
-        yield batch.select(["a", "b"]).filter(pa.array(good))
+        yield batch.select(PAIR).filter(pa.array(good))
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -379,67 +393,113 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = zip(batch.column("a_tokens").to_pylist(), batch.column("b_tokens").to_pylist(), strict=True)
         good = pa.array([similar(x, y) for x, y in tokens], pa.bool_())
-        yield batch.select(["a", "b"]).filter(good)
+        yield batch.select(PAIR).filter(good)
 
 
-def _links(pairs: DataFrame, firsts: DataFrame, named: DataFrame) -> DataFrame:
-    """Those of the (stored) pairs (a, b) that are similar, by the whole sets of their texts; stored."""
+def _links(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Those of the (stored) pairs that are similar, by the whole sets of their texts; stored."""
     spark = pairs.sparkSession
-    members = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    wanted = firsts.join(members, "sid", "left_semi").select(F.col("first_doc").alias("doc_id")).distinct()
+    wanted = pairs.select(F.col("a_doc").alias("doc_id")).union(pairs.select("b_doc")).distinct()
     texts = named.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
     # An id that several texts share brings more sets than wanted; they take no part in the joins below.
     sets = stored(texts.mapInArrow(_whole_sets, "sid long, tokens binary"), "whole")
     released(spark)
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("a_tokens"))
     right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("b_tokens"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_tokens", "b_tokens")
-    links = stored(both.mapInArrow(_verified, "a long, b long"), "links")
+    both = pairs.join(right, "b").join(left, "a").select(*PAIR, "a_tokens", "b_tokens")
+    links = stored(both.mapInArrow(_verified, PAIR_SCHEMA), "links")
     removed(spark, sets)
     released(spark)
     return links
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one key and of different components whose sizes and bitmaps let them be similar."""
-    tables = [pa.Table.from_batches([b]) for b in batches]
-    if not tables:
-        return
-    table = pa.concat_tables(tables).combine_chunks()
-    column = lambda c: table.column(c).to_numpy()
-    key, sid, label, n = column("key"), column("sid"), column("label"), column("n")
-    maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
-    order = np.lexsort((label, key))
-    starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(order) else []
-    for rows in np.split(order, starts[1:]) if len(order) else []:
-        names, first, counts = np.unique(label[rows], return_index=True, return_counts=True)
-        if len(names) < 2:
+def _edges(links: DataFrame) -> DataFrame:
+    """Links between nodes (lowest document, set), which sort by document."""
+    node = lambda k: F.struct(F.col(f"{k}_doc").alias("doc"), F.col(k).alias("sid")).alias(k)
+    return links.select(node("a"), node("b"))
+
+
+#: The columns that name a unit of comparisons.
+UNIT = ["key", "kind", "u", "v"]
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole units, from batches sorted by unit."""
+    pending: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        big = int(np.argmax(counts))
-        main = rows[first[big] : first[big] + counts[big]]
-        rest = np.concatenate([rows[: first[big]], rows[first[big] + counts[big] :]])
-        both = np.concatenate([main, rest])
-        step = max(1, 1_000_000 // (len(both) * BITMAP_WORDS))
-        for i in range(0, len(rest), step):
-            mine = rest[i : i + step]
-            ahead = both[: len(main) + i + len(mine)]
-            total = n[mine][:, None] + n[ahead][None, :]
-            lower = np.minimum(n[mine][:, None], n[ahead][None, :])
-            fits = (5 * lower >= 4 * (total - lower)) & (label[mine][:, None] != label[ahead][None, :])
-            x, y = np.nonzero(fits)
-            if not len(x):
-                continue
-            far = np.zeros(len(x), np.int64)
-            for k in range(0, len(x), 200_000):
-                part = slice(k, k + 200_000)
-                changed = maps[mine[x[part]]] ^ maps[ahead[y[part]]]
-                far[part] = np.bitwise_count(changed).sum(1)
-            near = far <= total[x, y] // 9
-            a, b = sid[mine[x[near]]], sid[ahead[y[near]]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
-                )
+        # All but the last unit are complete; the last one may go on.
+        changed = np.zeros(batch.num_rows - 1, bool)
+        for c in UNIT:
+            values = batch.column(c).to_numpy()
+            changed |= values[1:] != values[:-1]
+        last = int(np.flatnonzero(changed)[-1]) + 1 if changed.any() else 0
+        if pending and any(pending[-1].column(c)[-1] != batch.column(c)[0] for c in UNIT):
+            yield pa.Table.from_batches(pending)
+            pending = []
+        if last:
+            yield pa.Table.from_batches([*pending, batch.slice(0, last)])
+            pending = []
+        pending.append(batch.slice(last))
+    if pending:
+        yield pa.Table.from_batches(pending)
+
+
+def _compared(key, within, side, label, n, maps, chunk: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of pairs of one unit and of different components whose sizes and bitmaps let them be similar.
+
+    ``key`` numbers the units. Within a unit that is ``within``, all rows but those of its largest component are compared
+    with those before them; in others the rows of side 1 with those of side 0.
+    """
+    rows = np.lexsort((label, key))
+    k, name = key[rows], label[rows]
+    starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (name[1:] != name[:-1])]))
+    lengths = np.diff(np.append(starts, len(rows)))
+    order = np.lexsort((-lengths, k[starts]))
+    largest = order[np.unique(k[starts][order], return_index=True)[1]]
+    is_rest = np.ones(len(starts), np.int8)
+    is_rest[largest] = 0
+    later = np.where(within[rows], np.repeat(is_rest, lengths), side[rows])
+    order = np.lexsort((later, k))
+    rows, k, later = rows[order], k[order], later[order]
+    begin = np.searchsorted(k, k)
+    fronts = np.bincount(k, 1 - later, k.max() + 1).astype(np.int64)[k]
+    back = np.where(later == 0, 0, np.where(within[rows], np.arange(len(rows)) - begin, fronts))
+    at = np.flatnonzero(back)
+    ends = np.cumsum(back[at])
+    head = np.ascontiguousarray(maps[:, : BITMAP_WORDS // 4])
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + chunk, side="right")))
+        x = np.repeat(rows[at[i:j]], back[at[i:j]])
+        y = rows[gathered(begin[at[i:j]], back[at[i:j]])]
+        i = j
+        low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        fits = np.flatnonzero((5 * low >= 4 * high) & (label[x] != label[y]))
+        x, y = x[fits], y[fits]
+        # A part of the bitmap bounds the difference too, and rules most pairs out.
+        for part in (head, maps):
+            near = np.bitwise_count(part[x] ^ part[y]).sum(1) <= (n[x] + n[y]) // 9
+            x, y = x[near], y[near]
+        yield x, y
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that ``_compared`` leaves, of all units."""
+    for table in _units(batches):
+        table = table.combine_chunks()
+        column = lambda c: table.column(c).to_numpy()  # noqa: B023, E731
+        sid, doc, n, kind, u, v = (column(c) for c in ("sid", "doc", "n", "kind", "u", "v"))
+        new = np.concatenate([[False], np.any([column(c)[1:] != column(c)[:-1] for c in UNIT], axis=0)])
+        maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+        unit = np.cumsum(new)
+        for x, y in _compared(unit, (kind == 1) & (u == v), column("side"), column("label"), n, maps):
+            if len(x):
+                swap = sid[x] > sid[y]
+                a, b = np.where(swap, y, x), np.where(swap, x, y)
+                arrays = [pa.array(z) for z in (sid[a], sid[b], doc[a], doc[b])]
+                yield pa.RecordBatch.from_arrays(arrays, names=PAIR)
 
 
 def _checked(summaries: DataFrame) -> DataFrame:
@@ -457,10 +517,19 @@ def _checked(summaries: DataFrame) -> DataFrame:
     return grouped.select(F.when(same, F.col("sid")).otherwise(clash).alias("sid"), "n", "first_doc", "bitmap")
 
 
+def _buckets(firsts: DataFrame) -> int:
+    """How many buckets the keys of these sets are dealt to."""
+    tokens = firsts.agg(F.sum("n")).first()[0] or 0
+    least = int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MOST_BUCKETS, -(-tokens // TOKENS_PER_BUCKET)))
+
+
 def _shared(named: DataFrame, buckets: int) -> DataFrame:
     """(key, sid, members) of all keys that several sets hold; stored."""
     schema = "bucket long, sids binary, counts binary, keys binary"
-    dealt = named.mapInArrow(lambda b: _dealt_keys(b, buckets), schema).repartition(buckets, "bucket")
+    dealt = named.mapInArrow(lambda b: _dealt_keys(b, buckets), schema)
+    # By its own number, as hashes of so few numbers would leave some tasks empty and load others.
+    dealt = dealt.repartitionById(buckets, F.col("bucket").cast("int"))
     return stored(dealt.mapInArrow(_shared_keys, "key long, sid long, members long"), "keys")
 
 
@@ -472,21 +541,64 @@ def _stars(shared: DataFrame, firsts: DataFrame) -> DataFrame:
         F.least("sid", "center").alias("a"), F.greatest("sid", "center").alias("b")
     )
     side = lambda k: firsts.select(
-        F.col("sid").alias(k), F.col("n").alias(f"{k}_n"), F.col("bitmap").alias(f"{k}_bitmap")
+        F.col("sid").alias(k),
+        F.col("first_doc").alias(f"{k}_doc"),
+        F.col("n").alias(f"{k}_n"),
+        F.col("bitmap").alias(f"{k}_bitmap"),
     )
     both = pairs.distinct().join(side("b"), "b").join(side("a"), "a")
-    return stored(both.mapInArrow(_plausible, "a long, b long"), "pairs")
+    return stored(both.mapInArrow(_plausible, PAIR_SCHEMA), "pairs")
+
+
+def _in_units(rows: DataFrame) -> DataFrame:
+    """Rows (key, sid, members, label) of keys that hold several components, with each unit they take part in.
+
+    Keys of at most ``BLOCK`` members are one unit. Of others, (0, u, v) is block u of the largest component with block v
+    of the rest, and (1, u, v) two blocks of the rest; ``side`` is 0 for block u and 1 for block v.
+    """
+    unit = lambda kind, u, v, side: F.struct(
+        F.lit(kind).alias("kind"), u.cast("int").alias("u"), v.cast("int").alias("v"), F.lit(side).cast("int").alias("side")
+    )
+    small = rows.filter(F.col("members") <= BLOCK).select(
+        "key", "sid", "label", unit(1, F.lit(0), F.lit(0), F.lit(0)).alias("unit")
+    )
+    large = rows.filter(F.col("members") > BLOCK)
+    counts = large.groupBy("key", "label").agg(F.count("*").alias("n"))
+    kinds = counts.groupBy("key").agg(
+        F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("total")
+    ).select(
+        "key",
+        F.col("main.label").alias("main"),
+        F.ceil(F.col("main.n") / BLOCK).alias("mains"),
+        F.ceil((F.col("total") - F.col("main.n")) / BLOCK).alias("rests"),
+    )
+    dealt = large.join(kinds, "key").withColumn("hash", F.xxhash64("sid"))
+    own_main, own_rest = F.pmod("hash", "mains"), F.pmod("hash", "rests")
+    others = F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)
+    as_main = F.transform(others, lambda j: unit(0, own_main, j, F.lit(0)))
+    as_rest = F.concat(
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("mains") - 1), lambda i: unit(0, i, own_rest, F.lit(1))),
+        F.transform(
+            others, lambda j: unit(1, F.least(own_rest, j), F.greatest(own_rest, j), F.when(own_rest <= j, 0).otherwise(1))
+        ),
+    )
+    units = F.when(F.col("label") == F.col("main"), as_main).otherwise(as_rest)
+    return small.unionByName(dealt.select("key", "sid", "label", F.explode(units).alias("unit"))).select(
+        "key", "sid", "label", "unit.*"
+    )
 
 
 def _crossings(shared: DataFrame, firsts: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     """Round two's plausible pairs: those of one key and of different components; stored."""
-    marked = shared.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "key", "sid", F.coalesce("label", "sid").alias("label")
+    named = labels.select(F.col("node.sid").alias("sid"), F.col("label.sid").alias("label"))
+    marked = shared.join(named, "sid", "left").select(
+        "key", "sid", "members", F.coalesce("label", "sid").alias("label")
     )
     ends = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     left = marked.join(ends.filter("x <> y").select("key"), "key", "left_semi")
-    rows = left.join(firsts.select("sid", "n", "bitmap"), "sid").repartition(buckets, "key")
-    return stored(rows.mapInArrow(_crossing, "a long, b long").distinct(), "pairs")
+    sets = firsts.select("sid", F.col("first_doc").alias("doc"), "n", "bitmap")
+    rows = _in_units(left).join(sets, "sid").repartition(buckets, *UNIT).sortWithinPartitions(*UNIT)
+    return stored(rows.mapInArrow(_crossing, PAIR_SCHEMA).distinct(), "pairs")
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -495,35 +607,32 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     One set of a component keeps: the least of those that the lowest id has. Both stored.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     named = rows.filter(F.col("doc_id").isNotNull())
     summaries = stored(
         rows.mapInArrow(_summaries, "doc_id long, n long, sid long, check long, bitmap binary"), "sets"
     )
     firsts = stored(_checked(summaries.filter(F.col("doc_id").isNotNull())), "firsts")
+    buckets = _buckets(firsts)
     shared = _shared(named, buckets)
     released(spark)
 
     stars = _stars(shared, firsts)
     released(spark)
-    first = _links(stars, firsts, named)
-    labels = stored(components(first), "labels")
+    first = _links(stars, named)
+    labels = stored(components(_edges(first)), "labels")
 
     crossing = _crossings(shared, firsts, labels, buckets)
     released(spark)
-    second = _links(crossing, firsts, named)
+    second = _links(crossing, named)
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    final = components(known.unionByName(second))
+    final = components(known.unionByName(_edges(second)))
 
-    least = firsts.join(final.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "sid", "first_doc", F.coalesce("label", "sid").alias("label")
-    )
-    lowest = least.groupBy("label").agg(F.min(F.struct("first_doc", F.col("sid").alias("keeper"))).alias("least"))
+    found = final.select(F.col("node.sid").alias("sid"), "label")
+    alone = F.struct(F.col("first_doc").alias("doc"), F.col("sid").alias("sid"))
+    least = firsts.join(found, "sid", "left").select("sid", F.coalesce("label", alone).alias("least"))
     named_sets = stored(
-        least.join(lowest, "label").select(
-            "sid", F.col("least.first_doc").alias("lowest"), (F.col("sid") == F.col("least.keeper")).alias("keeps")
-        ),
+        least.select("sid", F.col("least.doc").alias("lowest"), (F.col("sid") == F.col("least.sid")).alias("keeps")),
         "classes",
     )
     for done in (shared, stars, first, labels, crossing, second, firsts):

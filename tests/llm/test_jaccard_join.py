@@ -216,3 +216,58 @@ def test_one_of_each_with_shared_ids(spark, prose):
         alike = {n for n in named if group[n] == g and rows[n][0] == lowest and sets[n] == one}
         assert {r[2] for r in kept if group.get(r[2]) == g} == alike
     assert {r[2] for r in kept if r[2] not in group} == {n for n in range(len(rows)) if n not in group}
+
+
+@pytest.mark.parametrize("block", [1, 3, 7])
+def test_keys_with_many_members_in_blocks_match_all_pairs(spark, monkeypatch, block):
+    """A passage that many texts share, among them a large group of near copies, and blocks far smaller than its keys."""
+    monkeypatch.setattr("lodestar.llm.jaccard_join.BLOCK", block)
+    rng = random.Random(block)
+    shared = [f"p{i}" for i in range(60)]
+    base = [*shared, *(f"b{i}" for i in range(50))]
+    texts = [[*shared, *(f"u{i}x{k}" for k in range(25))] for i in range(30)]
+    texts += [edited(rng, base, 1) for _ in range(25)]
+    texts += [edited(rng, texts[i], 1) for i in (0, 3, 3, 9)]
+    rows = [(n, " ".join(t)) for n, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert in_order(near_duplicates(df).collect()) == in_order(brute(rows))
+
+
+def test_units_cover_every_pair_of_different_components_once(spark, monkeypatch):
+    from lodestar.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(2)
+    rows = [(k, 100 * k + i, m, 1000 * k + rng.choice([0, 0, 0, *range(m)])) for k, m in enumerate([2, 4, 5, 9, 30]) for i in range(m)]
+    units = {}
+    for r in jaccard_join._in_units(spark.createDataFrame(rows, "key long, sid long, members long, label long")).collect():
+        units.setdefault((r.key, r.kind, r.u, r.v), []).append((r.side, r.sid, r.label))
+    seen = []
+    for (_, kind, u, v), members in units.items():
+        sides = [[m for m in members if m[0] == s] for s in (0, 1)]
+        pairs = [(x, y) for i, y in enumerate(members) for x in members[:i]] if kind == 1 and u == v else [
+            (x, y) for x in sides[0] for y in sides[1]
+        ]
+        seen += [tuple(sorted((x[1], y[1]))) for x, y in pairs if x[2] != y[2]]
+    want = [(a, b) for k, a, _, x in rows for j, b, _, y in rows if k == j and a < b and x != y]
+    assert sorted(seen) == sorted(want)
+
+
+def test_comparisons_of_units_match_the_definition():
+    from lodestar.llm.jaccard_join import BITMAP_WORDS, _compared
+
+    rng = np.random.default_rng(8)
+    size = 300
+    unit, label, n = rng.integers(0, 12, size), rng.integers(0, 9, size), rng.integers(20, 40, size)
+    maps = np.zeros((size, BITMAP_WORDS), np.uint64)
+    maps[:, :3] = rng.integers(0, 8, (size, 3))
+    side, within = rng.integers(0, 2, size), unit % 2 == 0
+    got = [p for x, y in _compared(unit, within, side, label, n, maps, 50) for p in zip(x.tolist(), y.tolist())]
+    want = []
+    for i in range(size):
+        for j in range(i):
+            if unit[i] != unit[j] or label[i] == label[j] or 5 * min(n[i], n[j]) < 4 * max(n[i], n[j]):
+                continue
+            if (within[i] or side[i] != side[j]) and np.bitwise_count(maps[i] ^ maps[j]).sum() <= (n[i] + n[j]) // 9:
+                want.append((j, i))
+    assert sorted(tuple(sorted(p)) for p in got) == sorted(want) and len(want) > 50
