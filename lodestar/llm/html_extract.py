@@ -7,7 +7,8 @@ as main text or not. Main blocks are joined by a line feed.
 
 The network is trained on the driver on ``TRAINING_PAGES`` pages that ``made_page`` invents: articles among menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments, in many layouts. The seed is fixed, so it is the
-same for any data. Scripts, styles and form controls never are blocks. Missing and crossed end tags are mended.
+same for any data. Scripts, styles and form controls never are blocks. Missing and crossed end tags are mended. Time and
+memory grow with a page's length, however deep its tags are nested: a path is the number of names in each bucket.
 
 Null and empty pages give an empty text; so do pages without main blocks. Repeated rows give equal rows, null ids are
 carried along, other columns are ignored, an empty table gives an empty result.
@@ -19,6 +20,7 @@ import html
 import random
 import re
 import zlib
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,18 +33,20 @@ from .segments import gathered, slices
 from .words import Adam, coded_words, run_sums, sigmoid, word_bytes, word_hashes
 
 _ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^>"']++)*+"""
-#: Skipped with their content; only raw text runs to the page's end where its end tag is missing. Of the others the last
-#: ones can't hold their own kind. Where their end tag is missing they are tags like any other.
+#: Skipped with their content; only raw text runs to the page's end where its end tag is missing. The last ones can't hold
+#: their own kind. Where their end tag is missing they are tags like any other.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>script|style|textarea|title)\b{_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
     rf"|<svg\b{_ATTRIBUTES}(?<=/)>"
-    rf"|<(?P<deep>svg|object|template)\b{_ATTRIBUTES}>.*?</(?P=deep)\s*>"
     rf"|<(?P<flat>button|select|iframe|noscript)\b{_ATTRIBUTES}>(?:(?!<(?P=flat)\b).)*?</(?P=flat)\s*>"
     rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>{_ATTRIBUTES}|[^>]*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
+#: Skipped up to their first end tag, if there is one.
+_DEEP = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("svg", "object", "template")}
+_DIGIT = re.compile(r"\d")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -64,12 +68,21 @@ TRAINING_PAGES = 1600
 
 
 class Block:
-    """Text of a leaf, the names on its path, and how many of its characters are link text."""
+    """Text of a leaf, its open elements, the buckets of their names, and how many of its characters are link text."""
 
-    __slots__ = ("text", "path", "linked")
+    __slots__ = ("text", "node", "buckets", "linked")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, text: str, node: tuple | None, buckets: dict[int, int], linked: int):
+        self.text, self.node, self.buckets, self.linked = text, node, buckets, linked
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The names on its path, outermost first."""
+        found, node = [], self.node
+        while node:
+            found.append(node[0])
+            node = node[1]
+        return tuple(n for names in reversed(found) for n in names)
 
 
 @lru_cache(100_000)
@@ -80,19 +93,71 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+class _Open:
+    """The open elements of a page. ``where`` and the lists of depths answer without looking through the stack."""
+
+    def __init__(self):
+        self.stack: list[str] = []
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+        #: Names of each open block element and what holds it, innermost last.
+        self.nodes: list[tuple[tuple[str, ...], tuple | None]] = []
+        self.counts: dict[int, int] = {}
+        self._buckets: dict[int, int] | None = None
+
+    def push(self, name: str, rest: str) -> None:
+        depth = len(self.stack)
+        self.stack.append(name)
+        self.where.setdefault(name, []).append(depth)
+        if name in SCOPE:
+            self.scopes.append(depth)
+        if name in BLOCK:
+            self.blocks.append(depth)
+            names = _names(name, rest)
+            self.nodes.append((names, self.nodes[-1] if self.nodes else None))
+            for b in _name_buckets(names):
+                self.counts[b] = self.counts.get(b, 0) + 1
+            self._buckets = None
+
+    def cut(self, depth: int) -> None:
+        """Close the element at ``depth`` and all inside it."""
+        while len(self.stack) > depth:
+            name = self.stack.pop()
+            self.where[name].pop()
+            if name in SCOPE:
+                self.scopes.pop()
+            if name in BLOCK:
+                self.blocks.pop()
+                for b in _name_buckets(self.nodes.pop()[0]):
+                    self.counts[b] -= 1
+                    if not self.counts[b]:
+                        del self.counts[b]
+                self._buckets = None
+
+    def buckets(self) -> dict[int, int]:
+        if self._buckets is None:
+            self._buckets = dict(self.counts) or {0: 1}
+        return self._buckets
+
+    def linked(self) -> bool:
+        return bool(self.where.get("a"))
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf sequence of a page."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
+    now = _Open()
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(n for t, names in stack if t in BLOCK for n in names), linked))
+                out.append(Block(text, now.nodes[-1] if now.nodes else None, now.buckets(), linked))
             parts.clear()
         linked = 0
 
@@ -100,58 +165,52 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         raw = html.unescape(raw) if "&" in raw else raw
         parts.append(raw)
-        if links:
+        if now.linked():
             linked += len(raw)
 
-    def cut(depth: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
+    def closed(name: str) -> None:
+        block = name in BLOCK
+        if block:
+            flush()
+        at = now.where.get(name)
+        # An end tag of another kind doesn't reach beyond the block that it stands in.
+        if at and (block or not now.blocks or at[-1] > now.blocks[-1]):
+            now.cut(at[-1])
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    def opened(name: str, rest: str) -> None:
+        if name in BLOCK:
+            flush()
+            if now.blocks and now.stack[now.blocks[-1]] == "p":
+                now.cut(now.blocks[-1])
+            scope = now.scopes[-1] if now.scopes else -1
+            inside = [at[i] for n in CLOSES.get(name, ()) if (at := now.where.get(n)) and (i := bisect(at, scope)) < len(at)]
+            if inside:
+                now.cut(min(inside))
+        if name not in VOID:
+            now.push(name, rest)
+
+    # No tag ends behind the last bracket, so none is looked for there.
+    at, stop = 0, page.rfind(">") + 1
+    while at < stop and (m := _TOKEN.search(page, at, stop)):
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
-        name = m["name"]
-        if name is None:
+        name = (m["name"] or "").lower()
+        if not name:
             continue
-        name = name.lower()
         if m["end"]:
-            block = name in BLOCK
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    if block:
-                        flush()
-                    cut(depth)
-                    break
-                if not block and stack[depth][0] in BLOCK:
-                    break
-            else:
-                if block:
-                    flush()
+            closed(name)
             continue
+        if name in _DEEP and name not in unclosed:
+            end = _DEEP[name].search(page, at, stop)
+            if end:
+                at = end.end()
+                continue
+            unclosed.add(name)
         if name == "br":
             parts.append(" ")
             continue
-        if name in BLOCK:
-            flush()
-            depth = len(stack)
-            while depth and (stack[depth - 1][0] not in BLOCK or stack[depth - 1][0] == "p"):
-                depth -= 1
-                if stack[depth][0] == "p":
-                    cut(depth)
-                    break
-            closes = CLOSES.get(name)
-            if closes:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] in closes:
-                        cut(depth)
-                    elif stack[depth][0] in SCOPE:
-                        break
-        if name not in VOID:
-            stack.append((name, _names(name, m["rest"])))
-            links += name == "a"
+        opened(name, m["rest"])
     if at < len(page):
         say(page[at:])
     flush()
@@ -159,8 +218,8 @@ def blocks(page: str) -> list[Block]:
 
 
 @lru_cache(100_000)
-def _path_buckets(path: tuple[str, ...]) -> np.ndarray:
-    return np.array([zlib.crc32(n.encode()) % PATH_BUCKETS for n in path] or [0], np.int64)
+def _name_buckets(names: tuple[str, ...]) -> tuple[int, ...]:
+    return tuple(zlib.crc32(n.encode()) % PATH_BUCKETS for n in names)
 
 
 class Leaves:
@@ -169,9 +228,10 @@ class Leaves:
     def __init__(self, pages: list[list[Block]]):
         flat = [b for page in pages for b in page]
         self.of_page = np.concatenate([[0], np.cumsum([len(p) for p in pages])]).astype(np.int64)
-        paths = [_path_buckets(b.path) for b in flat]
-        self.path = np.concatenate(paths) if paths else np.zeros(0, np.int64)
-        self.path_bounds = np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int64)
+        #: Buckets of names, how often each is on the path, and where each block's begin and end.
+        self.path = np.array([b for x in flat for b in x.buckets], np.int64)
+        self.path_times = np.array([n for x in flat for n in x.buckets.values()], np.float32)
+        self.path_bounds = np.concatenate([[0], np.cumsum([len(b.buckets) for b in flat])]).astype(np.int64)
         words, at, self.word_bounds = coded_words(pa.array([b.text for b in flat], pa.large_string()))
         self.word = (word_hashes(*word_bytes(words)) % np.uint64(WORD_BUCKETS)).astype(np.int64)[at]
         length = np.array([len(b.text) for b in flat], np.float32)
@@ -183,7 +243,7 @@ class Leaves:
                 np.array([min(b.linked, len(b.text)) for b in flat], np.float32) / np.maximum(length, 1),
                 ends,
                 np.log1p(n) / 4,
-                np.array([any(c.isdigit() for c in b.text[:40]) for b in flat], np.float32),
+                np.array([_DIGIT.search(b.text) is not None for b in flat], np.float32),
             ],
             axis=1,
         ) if flat else np.zeros((0, FIGURES), np.float32)
@@ -206,14 +266,51 @@ class Network:
             self.p |= {f"W{k}": small(d, 4 * h), f"U{k}": small(h, 4 * h), f"c{k}": np.zeros(4 * h, np.float32)}
             self.p[f"c{k}"][h : 2 * h] = 1  # remember by default
 
-    def inputs(self, x: Leaves, rows: np.ndarray) -> tuple[np.ndarray, tuple]:
-        counts = (np.diff(x.path_bounds)[rows], np.diff(x.word_bounds)[rows])
-        path, word = x.path[gathered(x.path_bounds[rows], counts[0])], x.word[gathered(x.word_bounds[rows], counts[1])]
-        means = []
-        for table, ids, n in (("P", path, counts[0]), ("M", word, counts[1])):
-            bounds = np.concatenate([[0], np.cumsum(n)])
-            means.append(run_sums(self.p[table][ids], bounds) / np.maximum(n, 1)[:, None])
-        return np.concatenate([*means, x.figures[rows]], axis=1).astype(np.float32), (path, word, *counts)
+    def inputs(self, x: Leaves, rows: np.ndarray) -> tuple[np.ndarray, dict[str, tuple]]:
+        """Inputs of some blocks; and for each table the ids used, each one's share of its block, and ids a block."""
+        used, means = {}, []
+        for table, ids, times, bounds in (
+            ("P", x.path, x.path_times, x.path_bounds), ("M", x.word, None, x.word_bounds)
+        ):
+            n = np.diff(bounds)[rows]
+            at = gathered(bounds[rows], n)
+            own = np.concatenate([[0], np.cumsum(n)])
+            times = np.ones(len(at), np.float32) if times is None else times[at]
+            share = times / np.repeat(np.maximum(run_sums(times, own), 1), n)
+            used[table] = (ids[at], share, n)
+            means.append(run_sums(self.p[table][ids[at]] * share[:, None], own))
+        return np.concatenate([*means, x.figures[rows]], axis=1).astype(np.float32), used
+
+    def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """What ``forward`` gives, both directions in step: half the steps for long sequences."""
+        n, steps, _ = x.shape
+        h = HIDDEN
+        u = np.stack([self.p["Uf"], self.p["Ub"]])
+        gates = np.empty((steps, 2, n, 4 * h), np.float32)
+        gates[:, 0] = (x @ self.p["Wf"] + self.p["cf"]).swapaxes(0, 1)
+        gates[:, 1] = (x @ self.p["Wb"] + self.p["cb"]).swapaxes(0, 1)[::-1]
+        m = np.stack([mask.T, mask.T[::-1]], axis=1)[..., None].astype(np.float32)
+        whole = m.reshape(steps, -1).all(axis=1).tolist()
+        states = np.empty((steps, 2, n, h), np.float32)
+        s = c = np.zeros((2, n, h), np.float32)
+        for t in range(steps):
+            z = gates[t]
+            z += s @ u
+            g = z[..., : 3 * h]
+            g *= 0.5
+            np.tanh(z, out=z)
+            g += 1
+            g *= 0.5
+            c_new = g[..., h : 2 * h] * c
+            c_new += g[..., :h] * z[..., 3 * h :]
+            s_new = g[..., 2 * h :] * np.tanh(c_new)
+            if not whole[t]:
+                s_new = m[t] * s_new + (1 - m[t]) * s
+                c_new = m[t] * c_new + (1 - m[t]) * c
+            s, c = s_new, c_new
+            states[t] = s
+        both = states[:, 0] @ self.p["o"][:h] + states[::-1, 1] @ self.p["o"][h:] + self.p["b"]
+        return both.T
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits, pages by blocks, from inputs of pages by blocks by features."""
@@ -292,7 +389,7 @@ def labels(network: Network, pages: list[list[Block]], cells: int = 20_000) -> l
         values, _ = network.inputs(x, rows)
         dense = np.zeros((*mask.shape, values.shape[1]), np.float32)
         dense[mask] = values
-        logits = network.forward(dense, mask.astype(np.float32))
+        logits = network.logits(dense, mask)
         for i, page in enumerate(some.tolist()):
             out[page] = logits[i, : sizes[page]] > 0
         at = end
@@ -437,7 +534,7 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = 8, batch: int = 16, seed:
         order = draw.permutation(pages)
         for i in range(0, pages, batch):
             rows, mask, _ = _laid_out(x, order[i : i + batch])
-            values, (path, word, n_path, n_word) = network.inputs(x, rows)
+            values, used = network.inputs(x, rows)
             dense = np.zeros((*mask.shape, values.shape[1]), np.float32)
             dense[mask] = values
             # Words are random here: a part of each block's inputs is dropped, so that no single one decides.
@@ -449,12 +546,10 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = 8, batch: int = 16, seed:
             d[mask] = (sigmoid(logits[mask]) - y[rows]) / len(rows)
             grads, d_x = network.backward(d, kept)
             d_in = d_x[mask] * drop
-            for table, ids, n, part in (
-                ("P", path, n_path, slice(0, PATH_SIZE)),
-                ("M", word, n_word, slice(PATH_SIZE, PATH_SIZE + WORD_SIZE)),
-            ):
+            for table, part in (("P", slice(0, PATH_SIZE)), ("M", slice(PATH_SIZE, PATH_SIZE + WORD_SIZE))):
+                ids, share, n = used[table]
                 grads[table] = 1e-5 * network.p[table]
-                np.add.at(grads[table], ids, np.repeat(d_in[:, part] / np.maximum(n, 1)[:, None], n, axis=0))
+                np.add.at(grads[table], ids, np.repeat(d_in[:, part], n, axis=0) * share[:, None])
             adam.step(grads)
     return network
 

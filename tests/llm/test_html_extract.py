@@ -118,3 +118,60 @@ def test_text_after_unclosed_elements_stays(middle):
 def test_raw_text_runs_to_the_end():
     for name in ("script", "style", "textarea", "title"):
         assert [b.text for b in H.blocks(f"<p>a</p><{name}>x<p>b</p>")] == ["a"]
+
+
+@pytest.mark.parametrize(
+    "page,n_blocks",
+    [
+        ("<b>" * 100_000 + "</i>" * 100_000 + "x", 1),
+        ("<b>" * 60_000 + "<div>" * 60_000 + "x", 1),
+        ("<div class='k'>x" * 60_000, 60_000),
+        ("<svg>" * 150_000 + "x", 1),
+        ("<li>x" * 100_000, 100_000),
+        ("<a " * 200_000, 1),
+        ("<ul><li>" * 60_000 + "x" + "</p>" * 60_000, 1),
+        ("".join(f"<div class='c{chr(97 + i % 26) * (i // 26 % 60 + 1)}'>y" for i in range(20_000)), 20_000),
+    ],
+    ids=["inline", "blocks", "nested", "svg", "items", "open", "lists", "names"],
+)
+def test_time_grows_with_the_page_alone(network, page, n_blocks):
+    import time
+
+    started = time.process_time()
+    assert len(H.blocks(page)) == n_blocks
+    cut = time.process_time() - started
+    H.main_text(network, [page])
+    assert cut < 2 and time.process_time() - started < 12
+
+
+def test_both_directions_in_step_give_what_each_gives(network):
+    """The fast pass against the one that training uses, and that against a plain loop over blocks."""
+    rng = random.Random(12)
+    cut = [H.blocks(H.made_page(rng)[0]) for _ in range(7)] + [[]]
+    x = H.Leaves(cut)
+    rows, mask, _ = H._laid_out(x, np.arange(len(cut)))
+    values, _ = network.inputs(x, rows)
+    dense = np.zeros((*mask.shape, values.shape[1]), np.float32)
+    dense[mask] = values
+    slow = network.forward(dense, mask.astype(np.float32))
+    assert np.abs(slow - network.logits(dense, mask))[mask].max() < 1e-4
+
+    p, h = {k: v.astype(float) for k, v in network.p.items()}, H.HIDDEN
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    for i, page in enumerate(cut[:3]):
+        vectors = []
+        for b in page:
+            path = [H._name_buckets((n,))[0] for n in b.path] or [0]
+            words = [w for w in b.text.split()]
+            ids = [int(H.word_hashes(*H.word_bytes(H.pa.array([w], H.pa.large_string())))[0]) % H.WORD_BUCKETS for w in words]
+            own = x.figures[sum(map(len, cut[:i])) + len(vectors)]
+            vectors.append(np.concatenate([p["P"][path].mean(0), p["M"][ids].mean(0), own]))
+        total = np.full(len(page), p["b"][0])
+        for k, order in (("f", range(len(page))), ("b", range(len(page) - 1, -1, -1))):
+            s, c = np.zeros(h), np.zeros(h)
+            for t in order:
+                z = vectors[t] @ p[f"W{k}"] + s @ p[f"U{k}"] + p[f"c{k}"]
+                c = sig(z[h : 2 * h]) * c + sig(z[:h]) * np.tanh(z[3 * h :])
+                s = sig(z[2 * h : 3 * h]) * np.tanh(c)
+                total[t] += s @ p["o"][(0 if k == "f" else h) : (h if k == "f" else 2 * h)]
+        assert np.abs(total - slow[i, : len(page)]).max() < 1e-3
