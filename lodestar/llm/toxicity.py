@@ -6,9 +6,9 @@ labelled sample gives its word hash and its n-grams. Texts are read in overlappi
 different word of a slice, so a step of the recurrence costs one small product a window.
 
 The network is trained on the driver on at most ``PER_CLASS`` labelled rows a class (two-fold log-odds, so that it
-doesn't learn its own counts), from the ``PER_TEXT`` windows with the highest log-odds of each text. That bounds training
-only: calibration and scoring use every window, but a toxic window ranked lower in a long labelled text isn't learned
-from. The model, some MB whose size doesn't depend on the data, goes to the workers with the function.
+doesn't learn its own counts), and on all windows of each: a text's logit is a soft maximum over them. A training step holds
+the states of ``MOST_WINDOWS`` windows at a time, so long texts don't make it larger. The model, some MB whose size doesn't
+depend on the data, goes to the workers with the function.
 
 Null and empty texts are read as one empty window. With no labels, or labels of one class only, every score is that
 class's share (0 without labels). Repeated rows get equal scores; null ids are scored and carried along; other columns
@@ -39,8 +39,8 @@ RATE = 0.01
 #: Least number of training steps, for small samples.
 STEPS = 400
 PER_CLASS = 1800
-#: Most windows of a labelled text that the network is trained on; scoring and calibration read all.
-PER_TEXT = 8
+#: Windows whose states a training step holds at once.
+MOST_WINDOWS = 4096
 TOXIC = 0.7
 
 
@@ -256,7 +256,7 @@ def _calibrated(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 6, seed: int = 0, per_text: int = PER_TEXT, batch: int = 32) -> Model:
+def fit(rows: list[tuple[str, int]], epochs: int = 4, seed: int = 0, batch: int = 32) -> Model:
     """A model from (text, label) rows."""
     y = np.array([label for _, label in rows], np.int64)
     if not len(y) or y.min() == y.max():
@@ -275,29 +275,17 @@ def fit(rows: list[tuple[str, int]], epochs: int = 6, seed: int = 0, per_text: i
     total = Odds()
     total.counts, total.texts = halves[0].counts + halves[1].counts, halves[0].texts + halves[1].texts
     del halves
-    # The windows a text is trained on: those with the highest log-odds by the other half's counts.
     starts, lengths, text = windows(bounds)
-    peak = np.zeros(len(starts), np.float32)
-    for k in (0, 1):
-        mine = np.flatnonzero(fold[text] == k)
-        for i in range(0, len(mine), 4096):
-            part = mine[i : i + 4096]
-            placed, mask = _placed(starts[part], lengths[part], at, len(v.word))
-            padded = np.concatenate([figures[k].max(1), [-9]]).astype(np.float32)
-            peak[part] = padded[placed].max(1)
-    order = np.lexsort((-peak, text))
-    rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
-    chosen = np.sort(order[rank < per_text])
     network = Network(seed)
     adam = Adam(network.p, RATE)
-    by_text = np.searchsorted(text[chosen], np.arange(len(y) + 1))
+    by_text = np.searchsorted(text, np.arange(len(y) + 1))
     epochs = max(epochs, STEPS * batch // len(y))
     for epoch in range(epochs):
         adam.rate = RATE * (1 - epoch / epochs) + RATE / 10
         for k in (0, 1):
             members = rng.permutation(np.flatnonzero(fold == k))
             for i in range(0, len(members), batch):
-                _step(network, adam, members[i : i + batch], by_text, chosen, starts, lengths, at, v, figures[k], y)
+                _step(network, adam, members[i : i + batch], by_text, starts, lengths, at, v, figures[k], y)
     model = Model(network, total.table())
     held = np.concatenate([_highest(network, v, figures[k], np.flatnonzero(fold == k), bounds, at) for k in (0, 1)])
     labels = np.concatenate([y[fold == k] for k in (0, 1)])
@@ -317,8 +305,8 @@ def _highest(network: Network, v: Vocabulary, figures, members, bounds, at) -> n
     return out[members]
 
 
-def _step(network, adam, members, by_text, chosen, starts, lengths, at, v, figures, y) -> None:
-    rows = np.concatenate([chosen[by_text[i] : by_text[i + 1]] for i in members.tolist()])
+def _step(network, adam, members, by_text, starts, lengths, at, v, figures, y) -> None:
+    rows = gathered(by_text[members], by_text[members + 1] - by_text[members])
     owner = np.repeat(np.arange(len(members)), by_text[members + 1] - by_text[members])
     places, mask = _placed(starts[rows], lengths[rows], at, -1)
     used, local = np.unique(places[places >= 0], return_inverse=True)
@@ -329,7 +317,12 @@ def _step(network, adam, members, by_text, chosen, starts, lengths, at, v, figur
         v.word[used], v.grams[gathered(v.bounds[used], lens)], np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
     )
     x = network.features(small, figures[used])
-    logit, kept = network.forward(network.projected(x), numbers, mask, keep=True)
+    gates = network.projected(x)
+    parts = [slice(i, i + MOST_WINDOWS) for i in range(0, len(rows), MOST_WINDOWS)]
+    if len(parts) == 1:
+        logit, kept = network.forward(gates, numbers, mask, keep=True)
+    else:
+        logit, kept = np.concatenate([network.forward(gates, numbers[p], mask[p]) for p in parts]), None
     # The text's logit is a soft maximum over its windows.
     top = np.full(len(members), -np.inf, np.float32)
     np.maximum.at(top, owner, logit)
@@ -337,7 +330,12 @@ def _step(network, adam, members, by_text, chosen, starts, lengths, at, v, figur
     total = np.bincount(owner, soft, len(members))
     error = sigmoid(top + np.log(total)) - y[members]
     d_logit = ((error[owner] * soft / total[owner]) / len(members)).astype(np.float32)
-    grads, d_gates = network.backward(d_logit, kept, numbers, mask, len(used))
+    grads, d_gates = {}, {}
+    for p in parts:
+        now = kept or network.forward(gates, numbers[p], mask[p], keep=True)[1]
+        g, d_g = network.backward(d_logit[p], now, numbers[p], mask[p], len(used))
+        grads = {k: grads.get(k, 0) + value for k, value in g.items()}
+        d_gates = {k: d_gates.get(k, 0) + value for k, value in d_g.items()}
     d_x = np.zeros_like(x)
     for k in "fb":
         grads[f"W{k}"] = x.T @ d_gates[k]

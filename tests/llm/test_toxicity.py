@@ -1,6 +1,5 @@
 """The recurrent toxicity model: gradients, windows, held-out accuracy and awkward rows."""
 
-import inspect
 import random
 
 import numpy as np
@@ -112,6 +111,53 @@ def test_coded_words_drop_only_white_space():
     assert [[pool[i] for i in at[a:b]] for a, b in zip(bounds, bounds[1:])] == [["a", "b", "c"], [], ["é\x1cf"]]
 
 
-def test_the_bound_on_training_windows_is_named_and_documented():
-    assert inspect.signature(T.fit).parameters["per_text"].default == T.PER_TEXT == 8
-    assert "``PER_TEXT``" in T.__doc__
+def test_all_windows_of_a_text_are_trained_on(prose, monkeypatch):
+    """A step's gradient counts every window, and is the same when their states are held a few at a time."""
+    rows = [*corpus(prose, 20, 7), (prose(3000, 99) + " zorgish " + prose(40, 98), 1)]
+    words, at, bounds = coded_words(pa.array([t for t, _ in rows], pa.large_string()))
+    v, y = T.Vocabulary.of(words), np.array([k for _, k in rows])
+    starts, lengths, text = T.windows(bounds)
+    by_text = np.searchsorted(text, np.arange(len(rows) + 1))
+    assert by_text[-1] - by_text[-2] > 100
+    figures = np.zeros((len(v.word), 3), np.float32)
+    found = []
+
+    class Kept:
+        def step(self, grads):
+            found.append(grads)
+
+    for most in (10**6, 16):
+        monkeypatch.setattr(T, "MOST_WINDOWS", most)
+        T._step(T.Network(3), Kept(), np.arange(len(rows)), by_text, starts, lengths, at, v, figures, y)
+    for k, whole in found[0].items():
+        assert np.allclose(whole, found[1][k], rtol=1e-3, atol=1e-5 * max(1, np.abs(whole).max()))
+    # Words of all windows of the long text have a gradient, not those of its likeliest windows alone.
+    used = np.unique(at[bounds[-2] :])
+    assert (np.abs(found[0]["E"]).sum(1)[T._bucket(v.word[used], T.WORD_BUCKETS, 20)] > 0).all()
+
+
+def test_scores_match_a_plain_pass(model):
+    """Every window word by word and gate by gate, in plain loops."""
+    net = model.network
+    p = {k: x.astype(float) for k, x in net.p.items()}
+    h, sig = T.HIDDEN, lambda z: 1 / (1 + np.exp(-z))
+    for t in ("some words and a zorgish one " * 9, "only two", "", "plain text again and again " * 20):
+        words, at, bounds = coded_words(pa.array([t], pa.large_string()))
+        v = T.Vocabulary.of(words)
+        x = net.features(v, T.inputs(v, model.odds)).astype(float)
+        best, places = -np.inf, at.tolist()
+        for begin in range(0, max(1, len(places) - (T.WINDOW - T.STRIDE)), T.STRIDE):
+            own = places[begin : begin + T.WINDOW]
+            states = np.zeros((len(own), 2 * h))
+            for k, order in (("f", range(len(own))), ("b", range(len(own) - 1, -1, -1))):
+                s = np.zeros(h)
+                for i in order:
+                    a, r = x[own[i]] @ p[f"W{k}"] + p[f"c{k}"], s @ p[f"U{k}"]
+                    z, reset = sig(a[:h] + r[:h]), sig(a[h : 2 * h] + r[h : 2 * h])
+                    s = s + z * (np.tanh(a[2 * h :] + reset * r[2 * h :]) - s)
+                    states[i, (0 if k == "f" else h) : (h if k == "f" else 2 * h)] = s
+            weight = np.exp(np.tanh(states @ p["A"]) @ p["a"])
+            pooled = (weight[:, None] * states).sum(0) / weight.sum() if len(own) else np.zeros(2 * h)
+            best = max(best, float(pooled @ p["o"] + p["b"][0]))
+        want = sig(net.scale * best + net.shift)
+        assert abs(model.scores(pa.array([t], pa.large_string()))[0] - want) < 1e-4
