@@ -13,13 +13,14 @@ least 0.8 differ in at most (|r| + |s|) / 9 tokens, and their sizes fall in the
   by several different sets are its candidates.
 * Round one links every member of a shared key to the key's busiest set; verified links merge into components. Round two
   looks only at keys that still hold several components. It compares sets of different components by parity
-  bitmaps, whose Hamming distance never exceeds the true difference, and verifies what passes. Every pair of a key
+  bitmaps, whose Hamming distance never exceeds the true difference, and verifies what passes. Sets of more tokens than
+  a bitmap has bits have a second one of as many bits as tokens, since the first would rule nothing out. Every pair of a key
   is so either in one component already, or ruled out exactly, or verified on the whole sets. No pairs of copies or of
   a key's largest component are made, and nothing is capped. A key with more than ``BLOCK`` members is cut into blocks of
   its largest component and of the others, and pairs of blocks are dealt out as units of their own: the comparisons of
   unlinked members grow with the square of their number, but no task has more than some units of ``BLOCK`` squared.
-* Nodes of the component search are (lowest document, set), so a component's label is its lowest document, and no step
-  groups or joins by component.
+* A component's lowest document comes from a partial aggregation by label and a join back, on rows of two or three longs;
+  adaptive execution splits the join where one component has most of the rows.
 
 Equal sets are one node from the start (``sid``, checked against a second hash), so groups of exact copies of any size
 cost a row each. Texts without words, empty and null texts have an empty set and are linked with nothing. Documents that
@@ -259,6 +260,29 @@ def parity_bitmaps(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.uint64)
 
 
+def fine_bitmaps(values: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """A parity bitmap of at least as many bits as tokens, a power of two, for each set too large for the common one."""
+    out: list[bytes | None] = [None] * (len(bounds) - 1)
+    for i in np.flatnonzero(np.diff(bounds) > BITMAP_WORDS * 64).tolist():
+        own = values[bounds[i] : bounds[i + 1]]
+        bits = 1 << (len(own) - 1).bit_length()
+        odd = np.bincount((mixed(own, 9) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+        out[i] = np.packbits(odd.astype(np.uint8)).tobytes()
+    return out
+
+
+def _finely_near(x: bytes | None, y: bytes | None, limit: int) -> bool:
+    """Whether the fine bitmaps of two sets, if both have one, differ in ``limit`` bits at most; the longer is folded."""
+    if x is None or y is None:
+        return True
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) > len(b):
+        a, b = b, a
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) <= limit
+
+
 # Spark stages ---------------------------------------------------------------------------------------------------------
 
 
@@ -268,8 +292,9 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, bounds = shingle_sets(whole_texts(rows.column("text")))
             sid, check = set_ids(values, bounds)
             maps = pa.array([m.tobytes() for m in parity_bitmaps(values, bounds)], pa.binary())
-            arrays = [rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sid), pa.array(check), maps]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "sid", "check", "bitmap"])
+            fine = pa.array(fine_bitmaps(values, bounds), pa.binary())
+            arrays = [rows.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sid), pa.array(check), maps, fine]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "sid", "check", "bitmap", "fine"])
 
 
 def _dealt_keys(batches: Iterator[pa.RecordBatch], buckets: int, flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -363,8 +388,8 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sid), tokens], names=["sid", "tokens"])
 
 
-PAIR_SCHEMA = "a long, b long, a_doc long, b_doc long"
-PAIR = ["a", "b", "a_doc", "b_doc"]
+PAIR_SCHEMA = "a long, b long"
+PAIR = ["a", "b"]
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,6 +401,9 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in ("a_bitmap", "b_bitmap")
         )
         good = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (np.bitwise_count(x ^ y).sum(1) <= (n + m) // 9)
+        fine = zip(*(batch.column(c).to_pylist() for c in ("a_fine", "b_fine")), strict=True)
+        limits = ((n + m) // 9).tolist()
+        good &= np.fromiter((_finely_near(*f, most) for f, most in zip(fine, limits, strict=True)), bool, len(good))
         yield batch.select(PAIR).filter(pa.array(good))
 
 
@@ -396,13 +424,40 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(PAIR).filter(good)
 
 
-def _links(pairs: DataFrame, named: DataFrame) -> DataFrame:
+#: Most rows, of 64 bits each, of the bitmap that stands for the ids of wanted texts, and most ids it is used for.
+BITMAP_ROWS = 1 << 20
+BITMAP_IDS = BITMAP_ROWS * 8
+
+
+def _texts_of(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``named`` whose ids are in the (stored) ``wanted``, and perhaps a few others.
+
+    Up to ``BITMAP_IDS`` ids are broadcast as a bitmap of bounded size, so that texts stay where they are; an eighth of the
+    other rows pass it at most. More ids than that are joined with the texts by a shuffle.
+    """
+    ids = wanted.count()
+    if ids > BITMAP_IDS:
+        return named.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    rows = min(BITMAP_ROWS, 1 << (ids // 2).bit_length())
+    hashed = F.xxhash64("doc_id")
+    place, bit = F.pmod(F.shiftright(hashed, 6), F.lit(rows)), F.pmod(hashed, F.lit(64)).cast("int")
+    bits = wanted.select(place.alias("place"), bit.alias("bit")).groupBy("place").agg(
+        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")
+    )
+    marked = named.withColumn("place", place).withColumn("bit", bit).join(F.broadcast(bits), "place")
+    return marked.filter(F.expr("(shiftrightunsigned(bits, bit) & 1L) = 1L")).select(*named.columns)
+
+
+def _links(pairs: DataFrame, firsts: DataFrame, named: DataFrame) -> DataFrame:
     """Those of the (stored) pairs that are similar, by the whole sets of their texts; stored."""
     spark = pairs.sparkSession
-    wanted = pairs.select(F.col("a_doc").alias("doc_id")).union(pairs.select("b_doc")).distinct()
-    texts = named.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    # An id that several texts share brings more sets than wanted; they take no part in the joins below.
-    sets = stored(texts.mapInArrow(_whole_sets, "sid long, tokens binary"), "whole")
+    members = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    wanted = stored(
+        firsts.join(members, "sid", "left_semi").select(F.col("first_doc").alias("doc_id")).distinct(), "wanted"
+    )
+    # More sets than wanted take no part in the joins below.
+    sets = stored(_texts_of(named, wanted).mapInArrow(_whole_sets, "sid long, tokens binary"), "whole")
+    removed(spark, wanted)
     released(spark)
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("a_tokens"))
     right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("b_tokens"))
@@ -413,12 +468,6 @@ def _links(pairs: DataFrame, named: DataFrame) -> DataFrame:
     return links
 
 
-def _edges(links: DataFrame) -> DataFrame:
-    """Links between nodes (lowest document, set), which sort by document."""
-    node = lambda k: F.struct(F.col(f"{k}_doc").alias("doc"), F.col(k).alias("sid")).alias(k)
-    return links.select(node("a"), node("b"))
-
-
 #: The columns that name a unit of comparisons.
 UNIT = ["key", "kind", "u", "v"]
 
@@ -490,16 +539,22 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _units(batches):
         table = table.combine_chunks()
         column = lambda c: table.column(c).to_numpy()  # noqa: B023, E731
-        sid, doc, n, kind, u, v = (column(c) for c in ("sid", "doc", "n", "kind", "u", "v"))
+        sid, n, kind, u, v = (column(c) for c in ("sid", "n", "kind", "u", "v"))
         new = np.concatenate([[False], np.any([column(c)[1:] != column(c)[:-1] for c in UNIT], axis=0)])
         maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+        fine = table.column("fine").to_pylist()
+        long = np.fromiter((f is not None for f in fine), bool, len(fine))
         unit = np.cumsum(new)
         for x, y in _compared(unit, (kind == 1) & (u == v), column("side"), column("label"), n, maps):
+            both = np.flatnonzero(long[x] & long[y])
+            limits = ((n[x] + n[y])[both] // 9).tolist()
+            near = np.ones(len(x), bool)
+            pairs = zip(x[both].tolist(), y[both].tolist(), limits, strict=True)
+            near[both] = [_finely_near(fine[i], fine[j], most) for i, j, most in pairs]
+            x, y = x[near], y[near]
             if len(x):
-                swap = sid[x] > sid[y]
-                a, b = np.where(swap, y, x), np.where(swap, x, y)
-                arrays = [pa.array(z) for z in (sid[a], sid[b], doc[a], doc[b])]
-                yield pa.RecordBatch.from_arrays(arrays, names=PAIR)
+                a, b = np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=PAIR)
 
 
 def _checked(summaries: DataFrame) -> DataFrame:
@@ -511,10 +566,11 @@ def _checked(summaries: DataFrame) -> DataFrame:
         F.min("n").alias("n"),
         F.max("n").alias("n1"),
         F.first("bitmap").alias("bitmap"),
+        F.first("fine").alias("fine"),
     )
     same = (F.col("c0") == F.col("c1")) & (F.col("n") == F.col("n1"))
     clash = F.raise_error(F.lit("two different sets share a 64-bit id")).cast("long")
-    return grouped.select(F.when(same, F.col("sid")).otherwise(clash).alias("sid"), "n", "first_doc", "bitmap")
+    return grouped.select(F.when(same, F.col("sid")).otherwise(clash).alias("sid"), "n", "first_doc", "bitmap", "fine")
 
 
 def _buckets(firsts: DataFrame) -> int:
@@ -542,9 +598,9 @@ def _stars(shared: DataFrame, firsts: DataFrame) -> DataFrame:
     )
     side = lambda k: firsts.select(
         F.col("sid").alias(k),
-        F.col("first_doc").alias(f"{k}_doc"),
         F.col("n").alias(f"{k}_n"),
         F.col("bitmap").alias(f"{k}_bitmap"),
+        F.col("fine").alias(f"{k}_fine"),
     )
     both = pairs.distinct().join(side("b"), "b").join(side("a"), "a")
     return stored(both.mapInArrow(_plausible, PAIR_SCHEMA), "pairs")
@@ -590,14 +646,12 @@ def _in_units(rows: DataFrame) -> DataFrame:
 
 def _crossings(shared: DataFrame, firsts: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     """Round two's plausible pairs: those of one key and of different components; stored."""
-    named = labels.select(F.col("node.sid").alias("sid"), F.col("label.sid").alias("label"))
-    marked = shared.join(named, "sid", "left").select(
+    marked = shared.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select(
         "key", "sid", "members", F.coalesce("label", "sid").alias("label")
     )
     ends = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     left = marked.join(ends.filter("x <> y").select("key"), "key", "left_semi")
-    sets = firsts.select("sid", F.col("first_doc").alias("doc"), "n", "bitmap")
-    rows = _in_units(left).join(sets, "sid").repartition(buckets, *UNIT).sortWithinPartitions(*UNIT)
+    rows = _in_units(left).join(firsts.select("sid", "n", "bitmap", "fine"), "sid").repartition(buckets, *UNIT).sortWithinPartitions(*UNIT)
     return stored(rows.mapInArrow(_crossing, PAIR_SCHEMA).distinct(), "pairs")
 
 
@@ -610,7 +664,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     named = rows.filter(F.col("doc_id").isNotNull())
     summaries = stored(
-        rows.mapInArrow(_summaries, "doc_id long, n long, sid long, check long, bitmap binary"), "sets"
+        rows.mapInArrow(_summaries, "doc_id long, n long, sid long, check long, bitmap binary, fine binary"), "sets"
     )
     firsts = stored(_checked(summaries.filter(F.col("doc_id").isNotNull())), "firsts")
     buckets = _buckets(firsts)
@@ -619,20 +673,23 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     stars = _stars(shared, firsts)
     released(spark)
-    first = _links(stars, named)
-    labels = stored(components(_edges(first)), "labels")
+    first = _links(stars, firsts, named)
+    labels = stored(components(first), "labels")
 
     crossing = _crossings(shared, firsts, labels, buckets)
     released(spark)
-    second = _links(crossing, named)
+    second = _links(crossing, firsts, named)
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    final = components(known.unionByName(_edges(second)))
+    final = components(known.unionByName(second))
 
-    found = final.select(F.col("node.sid").alias("sid"), "label")
-    alone = F.struct(F.col("first_doc").alias("doc"), F.col("sid").alias("sid"))
-    least = firsts.join(found, "sid", "left").select("sid", F.coalesce("label", alone).alias("least"))
+    least = firsts.join(final.withColumnRenamed("node", "sid"), "sid", "left").select(
+        "sid", "first_doc", F.coalesce("label", "sid").alias("label")
+    )
+    lowest = least.groupBy("label").agg(F.min(F.struct("first_doc", F.col("sid").alias("keeper"))).alias("least"))
     named_sets = stored(
-        least.select("sid", F.col("least.doc").alias("lowest"), (F.col("sid") == F.col("least.sid")).alias("keeps")),
+        least.join(lowest, "label").select(
+            "sid", F.col("least.first_doc").alias("lowest"), (F.col("sid") == F.col("least.keeper")).alias("keeps")
+        ),
         "classes",
     )
     for done in (shared, stars, first, labels, crossing, second, firsts):

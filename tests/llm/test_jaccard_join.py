@@ -271,3 +271,43 @@ def test_comparisons_of_units_match_the_definition():
             if (within[i] or side[i] != side[j]) and np.bitwise_count(maps[i] ^ maps[j]).sum() <= (n[i] + n[j]) // 9:
                 want.append((j, i))
     assert sorted(tuple(sorted(p)) for p in got) == sorted(want) and len(want) > 50
+
+
+def test_fine_bitmaps_bound_the_difference_at_any_sizes():
+    from lodestar.llm.jaccard_join import _finely_near, fine_bitmaps
+
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 30_000, dtype=np.uint64)
+    sets = [np.unique(pool[a:b]) for a, b in ((0, 1500), (100, 1600), (0, 9000), (500, 9500), (20_000, 29_000), (0, 600))]
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    fine = fine_bitmaps(np.concatenate(sets), bounds)
+    assert [f is None for f in fine] == [False] * 5 + [True]
+    for x, a in zip(fine, sets):
+        for y, b in zip(fine, sets):
+            assert _finely_near(x, y, len(np.setxor1d(a, b)))
+    assert not _finely_near(fine[2], fine[4], (len(sets[2]) + len(sets[4])) // 9)
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_wanted_texts_are_found_by_bitmap_or_by_shuffle(spark, monkeypatch, most):
+    from lodestar.llm import jaccard_join
+    from lodestar.llm.common import stored
+
+    monkeypatch.setattr(jaccard_join, "BITMAP_IDS", most)
+    docs = spark.createDataFrame([(i * 7 - 2000, f"t{i}") for i in range(2000)], "doc_id long, text string")
+    for wanted in ({7 * i - 2000 for i in range(0, 2000, 37)} | {12}, set()):
+        ids = stored(spark.createDataFrame([(i,) for i in wanted], "doc_id long"), "ids")
+        got = [r.doc_id for r in jaccard_join._texts_of(docs, ids).collect()]
+        assert wanted - {12} <= set(got) and len(set(got)) == len(got)
+        assert len(got) <= len(wanted) + 120 and (most or set(got) == wanted - {12})
+
+
+def test_long_texts_match_all_pairs(spark):
+    """Texts with more shingles than a common bitmap has bits, alike in a third or nearly equal."""
+    rng = random.Random(6)
+    common = [f"s{i}" for i in range(700)]
+    texts = [[*common, *(f"v{g}x{k}" for k in range(1300))] for g in range(8)]
+    texts += [edited(rng, texts[i], 20) for i in (0, 0, 3, 5)] + [edited(rng, texts[7], 300)]
+    rows = [(n, " ".join(t)) for n, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert in_order(near_duplicates(df).collect()) == in_order(brute(rows))
