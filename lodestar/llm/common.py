@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -24,9 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """This application's folder in the storage that driver and executors share.
 
-    The cluster names that storage in ``spark.checkpoint.dir``; only where that is unset a local one is used.
+    The cluster names that storage in ``spark.checkpoint.dir``. Where that is unset and driver and executors are one
+    process, a local folder is used; on a cluster it would lose rows without a word, so there it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", getattr(spark.sparkContext, "master", "local")):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        base = LOCAL_SHARED_DIR
     return f"{base.rstrip('/')}/lodestar/{spark.sparkContext.applicationId}"
 
 

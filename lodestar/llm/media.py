@@ -8,7 +8,9 @@ versions; damaged containers raise ValueError, and so do fragmented ones, whose
 
 ``media_tracks`` adds these figures to any table with a binary media column: for every track, in order, its codec,
 handler, timescale, duration, number of samples, and begin and end of every keyframe. A container may have any number of
-tracks; null media have null tracks. ``media_digest`` returns the same column and makes its feature string from it.
+tracks; null media have null tracks. ``media_metadata`` reads the boxes in front of the payload and their tables alone, so
+no payload is decoded or hashed. ``media_digest`` returns the same columns and makes its feature string from them; null media
+have null figures.
 
 Null texts count as empty; an empty text has one frame of zeros. Equal texts have equal containers and features.
 Repeated rows give a row each, null ids are carried along, other columns are ignored, an empty table gives an empty
@@ -37,6 +39,10 @@ FRAME, PER_CHUNK, RATE = 64, 16, 8000
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 
 
+#: Boxes lie no deeper than this in a real file.
+DEEPEST = 32
+
+
 def box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
     if len(body) + 8 < 1 << 32:
@@ -125,16 +131,27 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, depth: int =
             raise ValueError(f"box {kind!r} at {start} does not fit")
         yield depth, kind, body, stop
         if kind in CONTAINERS:
+            if depth == DEEPEST:
+                raise ValueError("boxes are nested too deeply")
             yield from walk(data, body, stop, depth + 1)
         start = stop
 
 
 def _numbers(data: memoryview, at: int, end: int, kind: str, width: int = 1) -> np.ndarray:
-    n = struct.unpack_from(">I", data, at)[0]
+    n = _fields(">I", data, at, end)[0]
     size = np.dtype(kind).itemsize
     if at + 4 + n * width * size > end:
         raise ValueError("a table is cut short")
-    return np.frombuffer(data, kind, n * width, at + 4).astype(np.int64).reshape(-1, width)
+    numbers = np.frombuffer(data, kind, n * width, at + 4)
+    if size == 8 and n and int(numbers.max()) > len(data):
+        raise ValueError("an offset lies outside the file")
+    return numbers.astype(np.int64).reshape(-1, width)
+
+
+def _fields(form: str, data: memoryview, at: int, end: int) -> tuple:
+    if at + struct.calcsize(form) > end:
+        raise ValueError("a box is cut short")
+    return struct.unpack_from(form, data, at)
 
 
 #: A duration of all ones in the header means that it is unknown.
@@ -153,21 +170,26 @@ class Track:
 
     def _read(self, data: memoryview, kind: bytes, a: int, b: int) -> None:
         if kind == b"mdhd":
-            at = (a + 20, ">IQ") if data[a] == 1 else (a + 12, ">II")
-            self.timescale, self.duration = struct.unpack_from(at[1], data, at[0])
-            if data[a] != 1 and self.duration == (1 << 32) - 1:
+            version = _fields("B", data, a, b)[0]
+            at = (a + 20, ">IQ") if version == 1 else (a + 12, ">II")
+            self.timescale, self.duration = _fields(at[1], data, at[0], b)
+            if version != 1 and self.duration == (1 << 32) - 1:
                 self.duration = _UNKNOWN
+            if 1 << 63 <= self.duration < _UNKNOWN:
+                raise ValueError("a duration is out of range")
         elif kind == b"hdlr":
-            self.handler = bytes(data[a + 8 : a + 12]).decode("latin-1")
+            self.handler = _fields("4s", data, a + 8, b)[0].decode("latin-1")
         elif kind == b"stsd":
-            self.codec = bytes(data[a + 12 : a + 16]).decode("latin-1").strip()
+            self.codec = _fields("4s", data, a + 12, b)[0].decode("latin-1").strip()
         elif kind == b"stts":
             runs = _numbers(data, a + 4, b, ">u4", 2)
             self.ticks = int((runs[:, 0] * runs[:, 1]).sum())
         elif kind == b"stsc":
             self._stsc = _numbers(data, a + 4, b, ">u4", 3)
         elif kind == b"stsz":
-            size, n = struct.unpack_from(">II", data, a + 4)
+            size, n = _fields(">II", data, a + 4, b)
+            if size * n > len(data):
+                raise ValueError("samples are larger than the file")
             self.sizes = np.full(n, size, np.int64) if size else _numbers(data, a + 8, b, ">u4")[:, 0]
         elif kind in (b"stco", b"co64"):
             self._chunks = _numbers(data, a + 4, b, ">u4" if kind == b"stco" else ">u8")[:, 0]
@@ -178,9 +200,16 @@ class Track:
         """Byte ranges of samples, from the chunks they lie in."""
         chunks = len(self._chunks)
         first = np.append(self._stsc[:, 0], chunks + 1)
+        # What the runs say in total is known before they are written out.
+        if len(self._stsc) and (first[0] != 1 or (np.diff(first) <= 0).any()):
+            raise ValueError("runs of chunks are out of order")
+        if int(self.sizes.sum()) > length:
+            raise ValueError("samples are larger than the file")
         per_chunk = np.repeat(self._stsc[:, 1], np.diff(first)) if len(self._stsc) else np.zeros(0, np.int64)
         if len(per_chunk) != chunks or per_chunk.sum() != len(self.sizes):
             raise ValueError("sample tables disagree")
+        if chunks and not per_chunk.all():
+            raise ValueError("a chunk has no sample")
         chunk = np.repeat(np.arange(chunks), per_chunk)
         before = np.cumsum(self.sizes) - self.sizes
         begin = np.cumsum(per_chunk) - per_chunk
@@ -207,6 +236,7 @@ class Track:
 
 
 def tracks(data: memoryview) -> list[Track]:
+    """The tracks of a container in order, with their tables read and checked."""
     found: list[Track] = []
     for _, kind, a, b in walk(data):
         if kind == b"moof":
@@ -272,6 +302,14 @@ def media_tracks(frame: DataFrame, column: str = "media") -> DataFrame:
     return frame.mapInArrow(read, schema.add("tracks", DataType.fromDDL(TRACKS)))
 
 
+def media_metadata(frame: DataFrame, column: str = "media") -> DataFrame:
+    """``frame`` with one row a track in place of the binary ``column``: track (from 0), codec, handler, timescale, duration,
+    samples and key_ranges. Null media and containers without tracks give no row. The payload isn't looked at."""
+    others = [F.col(f"`{c}`") for c in frame.columns if c != column]
+    told = media_tracks(frame, column).select(*others, F.posexplode("tracks").alias("track", "_told"))
+    return told.select(*others, "track", "_told.*")
+
+
 def feature(track: dict) -> str:
     """Codec, clock, length and keyframes of a described track as one line."""
     ranges, duration = track["key_ranges"], track["duration"]
@@ -299,6 +337,7 @@ def stored_media(docs: DataFrame) -> DataFrame:
 
 
 DIGEST = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tracks")
+KINDS = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 DIGEST_SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
     f"media_sha256 string, feature string, tracks {TRACKS}"
@@ -317,6 +356,10 @@ def media_digest(media: DataFrame) -> DataFrame:
             for rows in slices(batch, "media"):
                 out, found = [], []
                 for raw in rows.column("media").to_pylist():
+                    if raw is None:
+                        found.append(None)
+                        out.append((None,) * (len(DIGEST) - 1))
+                        continue
                     data = memoryview(raw)
                     own = tracks(data)
                     found.append([described(t) for t in own])
@@ -332,7 +375,7 @@ def media_digest(media: DataFrame) -> DataFrame:
                         )
                     )
                 if out:
-                    columns = [rows.column("doc_id"), rows.column("n_bytes"), *map(pa.array, zip(*out, strict=True))]
+                    columns = [rows.column("doc_id"), rows.column("n_bytes"), *map(pa.array, zip(*out, strict=True), KINDS)]
                     yield pa.RecordBatch.from_arrays([*columns, track_column(found)], names=names)
 
     return media.mapInArrow(read, DIGEST_SCHEMA)

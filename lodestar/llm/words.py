@@ -96,18 +96,18 @@ def labelled_sample(
     """(text, label) of at most ``per_class`` labelled rows a class, without those of the fold that is left out.
 
     Rows are picked in the order of a hash of their id, so the sample doesn't depend on how tables are cut or ordered.
-    Only the picked ids, a number bounded by ``per_class``, are broadcast.
+    Only the picked ids, a number bounded by ``per_class``, are broadcast. An id that is labelled more than once counts once,
+    as 1 if any of its labels is 1; of several texts of one id the least is taken.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     usable = labels.select("doc_id", F.col(label).cast("int").alias("_label")).filter(
         F.col("doc_id").isNotNull() & F.col("_label").isin(0, 1) & (fold != left_out)
-    )
+    ).groupBy("doc_id").agg(F.max("_label").alias("_label"))
     picked = None
     for k in (0, 1):
         one = usable.filter(F.col("_label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = one if picked is None else picked.union(one)
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    # A repeated id gives its least text once.
     rows = (
         texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("_text").alias("t"), F.max("_label").alias("y"))
     )

@@ -3,6 +3,8 @@
 import os
 from types import SimpleNamespace
 
+import pytest
+
 from lodestar.llm import common
 from lodestar.llm.common import arrow_rows, cleared, removed, shared_root, stored
 
@@ -37,3 +39,15 @@ def test_arrow_rows_come_back(spark):
     with arrow_rows(spark, 7):
         assert spark.conf.get(key) == "7"
     assert spark.conf.get(key) == before
+
+
+@pytest.mark.parametrize("master,good", [("local", True), ("local[4]", True), ("local-cluster[2,1,512]", False), ("spark://h:7077", False), ("yarn", False)])
+def test_a_cluster_must_name_its_shared_folder(master, good):
+    one = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    if good:
+        assert common.shared_root(one) == f"{common.LOCAL_SHARED_DIR}/lodestar/app"
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_root(one)
+    one.conf = {"spark.checkpoint.dir": "x://shared/"}
+    assert common.shared_root(one) == "x://shared/lodestar/app"

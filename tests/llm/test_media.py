@@ -131,3 +131,81 @@ def test_digest_of_several_tracks(spark):
 def test_fragments_are_refused():
     with pytest.raises(ValueError, match="fragmented"):
         M.tracks(memoryview(M.container(bytes(64)) + M.box(b"moof", M.box(b"traf"))))
+
+
+def test_a_changed_byte_gives_nothing_but_value_errors():
+    """Every byte in front of the payload set to other values; what is still read stays within the file."""
+    whole = M.container(M.padded(b"some payload " * 200))
+    head = whole.index(b"mdat") + 4
+    told = 0
+    for i in range(head):
+        for value in (0, 1, 0x7F, 0xFF, whole[i] ^ 1):
+            data = bytearray(whole)
+            data[i] = value
+            try:
+                found = M.tracks(memoryview(bytes(data)))
+            except ValueError:
+                told += 1
+                continue
+            for t in found:
+                assert len(t.sizes) <= len(whole) and len(t.payload(memoryview(bytes(data)))) <= len(whole)
+                assert (t.key_ranges() >= 0).all() and (t.key_ranges() <= len(whole)).all()
+                M.track_column([[M.described(t)]])
+    assert told > head / 2
+
+
+def test_every_cut_is_told_as_value_error_or_read():
+    whole = M.container(M.padded(b"x" * 300))
+    for n in range(len(whole)):
+        try:
+            M.tracks(memoryview(whole[:n]))
+        except ValueError:
+            pass
+
+
+def test_null_media_and_metadata(spark):
+    media = M.container(M.padded(b"abc" * 1000))
+    rows = [(1, 3000, media, "x"), (2, 0, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary, codec string")
+    got = {r.doc_id: r for r in M.media_digest(df).collect()}
+    assert got[2].payload_bytes is None and got[2].tracks is None and got[2].feature is None and got[1].payload_bytes == 3008
+    (one,) = M.media_metadata(df.drop("codec")).collect()
+    (track,) = M.tracks(memoryview(media))
+    assert (one.doc_id, one.track, one.codec, one.duration, one.samples) == (1, 0, "raw", 3008, 47)
+    assert [tuple(r) for r in one.key_ranges] == [tuple(r) for r in track.key_ranges().tolist()]
+
+
+def test_features_match_a_plain_walk():
+    """Codec, clock and keyframes by struct and loops over the boxes, without the module's tables."""
+    import zlib
+
+    payload = M.padded(bytes(range(256)) * 23)
+    data = M.container(payload)
+    found = {}
+
+    def into(a, b):
+        while a < b:
+            n, kind = struct.unpack_from(">I4s", data, a)
+            found[kind] = data[a + 8 : a + n]
+            if kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+                into(a + 8, a + n)
+            a += n
+
+    into(0, len(data))
+    size, n = struct.unpack_from(">II", found[b"stsz"], 4)
+    offsets = struct.unpack_from(f">{struct.unpack_from('>I', found[b'stco'], 4)[0]}I", found[b"stco"], 8)
+    runs = [struct.unpack_from(">III", found[b"stsc"], 8 + 12 * i) for i in range(struct.unpack_from(">I", found[b"stsc"], 4)[0])]
+    starts = []
+    for chunk, at in enumerate(offsets, 1):
+        per = [r[1] for r in runs if r[0] <= chunk][-1]
+        starts += [at + size * k for k in range(per)]
+    keys = struct.unpack_from(f">{struct.unpack_from('>I', found[b'stss'], 4)[0]}I", found[b"stss"], 8)
+    ranges = [(starts[k - 1], starts[k - 1] + size) for k in keys]
+    rate, duration = struct.unpack_from(">IQ", found[b"mdhd"], 20)
+    crc = zlib.crc32(b"".join(struct.pack("<qq", *r) for r in ranges))
+    want = (
+        f"codec={found[b'stsd'][12:16].decode().strip()} handler={found[b'hdlr'][8:12].decode()} rate={rate} duration={duration}"
+        f" seconds={duration / rate:.3f} samples={n} keyframes={len(keys)} ranges={crc:08x}"
+    )
+    (track,) = M.tracks(memoryview(data))
+    assert M.feature(M.described(track)) == want
