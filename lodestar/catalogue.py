@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .session import Session
 
@@ -72,6 +73,19 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "cast_float_text": ("SELECT CAST(l_quantity AS TEXT) AS a FROM lineitem", "SELECT CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.0' AS a FROM lineitem"),
     "cast_text_int": ("SELECT CAST(CAST(o_orderkey AS TEXT) AS INT) AS a FROM orders", "SELECT o_orderkey AS a FROM orders"),
     "cast_text_float": ("SELECT CAST(CAST(l_discount AS TEXT) AS FLOAT) AS a FROM lineitem", "SELECT l_discount AS a FROM lineitem"),
+    "cast_text_trim": (
+        "SELECT CAST('\t7\n' AS INT) + o_orderkey AS a, CAST('\u3000 1.5\t' AS FLOAT) AS b FROM orders",
+        "SELECT 7 + o_orderkey AS a, CAST(1.5 AS DOUBLE) AS b FROM orders",
+    ),
+    "cast_small_float_text": (
+        "SELECT CAST(1e-20 AS TEXT) AS a, CAST(-1.5e-7 AS TEXT) AS b, CAST(1e300 AS TEXT) AS c, CAST(1.25e17 AS TEXT) AS d, CAST(0.00012 AS TEXT) AS e",
+        "SELECT '0.' || repeat('0', 19) || '1' AS a, '-0.00000015' AS b, '1' || repeat('0', 300) AS c, '125' || repeat('0', 15) AS d, '0.00012' AS e",
+    ),
+    "count_distinct_star": ("SELECT count(DISTINCT *) AS n FROM lineitem", "SELECT count(*) AS n FROM lineitem"),
+    "quoted_identifier": (
+        'SELECT "n_name" AS "Name of nation", n."n_regionkey" + 0 AS "select" FROM nation "n" WHERE "n_nationkey" > 3',
+        'SELECT n_name AS "Name of nation", CAST(n_regionkey AS BIGINT) AS "select" FROM nation WHERE n_nationkey > 3',
+    ),
     "cast_bool_int": ("SELECT CAST(l_quantity > 25 AS INT) AS a, CAST(l_linenumber - 1 AS BOOL) AS b FROM lineitem", "SELECT CAST(l_quantity > 25 AS BIGINT) AS a, l_linenumber <> 1 AS b FROM lineitem"),
     "cast_bool_text": ("SELECT CAST(l_quantity > 25 AS TEXT) AS a, CAST('f' AS BOOLEAN) AS b FROM lineitem", "SELECT CAST(l_quantity > 25 AS VARCHAR) AS a, false AS b FROM lineitem"),
     # CASE
@@ -226,6 +240,22 @@ def table_save_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.query("SELECT s.*, o.o_totalprice AS price FROM saved s JOIN orders o ON s.o_orderkey = o.o_orderkey")
 
 
+def import_csv_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with white space of several kinds around them, and lines of nothing else, as a file of its own."""
+    from .sources.csvio import scratch
+
+    where = scratch(spark)
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    cells = F.concat(F.lit("\t"), F.col("n_nationkey"), F.lit(" \t,\u3000"), F.col("n_name"), F.lit(" \t"))
+    lines = nation.select(F.struct(F.lit(1).alias("k"), cells.alias("line")).alias("r"))
+    extra = spark.createDataFrame([(0, "key\t, name"), (2, "\t"), (2, " \t ")], "k int, line string")
+    both = lines.select("r.*").union(extra).coalesce(1).sortWithinPartitions("k").select("line")
+    both.write.text(where)
+    session = Session(spark)
+    session.import_csv("t", where)
+    return session.query("SELECT key + 0 AS n, name FROM t")
+
+
 STATEMENTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "table_create_insert": (
         table_create_insert,
@@ -233,6 +263,7 @@ STATEMENTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
     "table_drop_create": (table_drop_create, "SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS a"),
     "table_import_csv": (table_import_csv, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation WHERE n_regionkey > 1"),
+    "import_csv_tabs": (import_csv_tabs, "SELECT CAST(n_nationkey AS BIGINT) AS n, n_name AS name FROM nation"),
     "table_copy_csv": (table_copy_csv, "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name, CAST(n_regionkey AS DOUBLE) AS region FROM nation"),
     "table_save_attach": (table_save_attach, "SELECT * REPLACE (CAST(o_orderdate AS VARCHAR) AS o_orderdate), o_totalprice AS price FROM orders"),
 }

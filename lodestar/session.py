@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -91,7 +92,8 @@ class Session:
 
         with dialect(self.spark):
             frame = self._plan(q)[0].frame
-            rows = len(frame.collect()) if frame.columns else frame.count()
+            # The frame's own plan runs, so that its counters fill, and its rows are counted where they are.
+            rows = frame._jdf.queryExecution().toRdd().count()
             return ran(frame) + f"{rows} row{'' if rows == 1 else 's'} returned\n"
 
     # Statements
@@ -173,14 +175,19 @@ class Session:
         return frame.count()
 
     def save_table(self, name: str, path: str, row_group_size: int = 65_536) -> int:
-        """Write a table to Parquet with row groups of at most that many rows, and read it from there from now on."""
+        """Write a table to Parquet with row groups of at most that many rows, and read it from there from now on.
+
+        What was at ``path`` is replaced once the new files are whole, so a table can be saved to where it is read from.
+        """
         if row_group_size < 1:
             raise StorageError("a row group holds at least one row")
         table = self.catalog.get(name)
         named = table.frame.toDF(*(n for n, _, _ in table.columns))
         writer = named.write.option("parquet.block.row.count.limit", row_group_size)
         try:
-            writer.parquet(path)
+            fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+            writer.parquet(fresh)
+            self._moved(fresh, path)
         except AnalysisException as e:
             raise StorageError(str(e).splitlines()[0]) from e
         saved = from_frame(self.spark, table.name, self.spark.read.parquet(path), path)
@@ -188,6 +195,16 @@ class Session:
         self.catalog.add(saved, replace=True)
         return saved.count()
 
+    def _moved(self, source: str, target: str) -> None:
+        """Put the folder ``source`` in the place of whatever ``target`` is."""
+        paths = self.spark._jvm.org.apache.hadoop.fs.Path
+        to = paths(target)
+        files = to.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if files.exists(to):
+            files.delete(to, True)
+        if not files.rename(paths(source), to):
+            raise StorageError(f"cannot move {source} to {target}")
+
     def attach(self, name: str, path: str) -> int:
         """Register Parquet files under a name; replaces a table of that name. Gives the number of rows."""
         try:

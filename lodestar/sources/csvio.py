@@ -1,8 +1,9 @@
 """CSV files: own type inference over a sample, strict cells, and Spark's reader for the rest.
 
-Fields are separated by commas and may be quoted; a doubled quote stands for one; no field spans lines; blank lines are
-skipped; cells are trimmed and blank ones are NULL. Rows with another number of fields than the header are errors. Rows of
-the sample are checked on the driver, with their numbers; all others by Spark's reader when the load runs.
+Fields are separated by commas and may be quoted; a doubled quote stands for one; no field spans lines; lines of white space
+alone are skipped; cells are trimmed of white space of any kind and blank ones are NULL. Rows with another number of fields
+than the header are errors. Rows of the sample are checked on the driver, with their numbers; all others by Spark's reader
+when the load runs, which tells the line or the cell and its column.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import StorageError
-from ..functions.casts import FLOAT, INTEGER, strict_cast
+from ..functions.casts import FLOAT, INTEGER, strict_cast, trimmed
 from ..types import Kind
 
 SAMPLE = 1000
+#: Text with something else than white space of any script.
+FILLED = r"(?U)\S"
 
 
 def _fields(line: str) -> list[str]:
@@ -27,7 +30,7 @@ def _fields(line: str) -> list[str]:
 
 
 def _lines(spark: SparkSession, path: str, n: int) -> list[str]:
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = spark.read.text(path).filter(F.col("value").rlike(FILLED))
     try:
         return [r.value for r in lines.limit(n).collect()]
     except PySparkException as e:
@@ -88,16 +91,21 @@ def loaded(spark: SparkSession, path: str, columns: list[tuple[str, Kind, bool]]
     """The file's rows by position as columns c0, c1, ...; written once, so that a bad cell fails the load itself."""
     names = [f"c{i}" for i in range(len(columns))]
     raw = spark.read.csv(
-        path, header=True, schema=", ".join(f"{n} string" for n in names), quote='"', escape='"', mode="FAILFAST",
-        enforceSchema=True,
+        path, header=True, schema=", ".join(f"{n} string" for n in [*names, "line"]), quote='"', escape='"', mode="PERMISSIVE",
+        columnNameOfCorruptRecord="line", enforceSchema=True,
     )
+    # A line that isn't a row is in ``line``; where there is one column only, one of white space is a row of one cell.
+    blank = F.col("line").isNotNull() & ~F.col("line").rlike(FILLED)
+    if len(names) == 1:
+        blank = blank | F.coalesce((F.col("c0") != "") & ~F.col("c0").rlike(FILLED), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit(f"type error: expected {len(names)} fields in line: "), F.col("line")))
     cells = []
-    for n, (_, kind, _) in zip(names, columns, strict=True):
-        cell = F.trim(F.col(n))
-        cells.append(strict_cast(F.when(cell != "", cell), Kind.UTF8, kind).alias(n))
+    for n, (name, kind, _) in zip(names, columns, strict=True):
+        cell = trimmed(F.when(F.col("line").isNull(), F.col(n)).otherwise(wrong.cast("string")))
+        cells.append(strict_cast(F.when(cell != "", cell), Kind.UTF8, kind, f" in column {name}").alias(n))
     where = scratch(spark)
     try:
-        raw.select(*cells).write.parquet(where)
+        raw.filter(~blank).select(*cells).write.parquet(where)
     except PySparkException as e:
         told = re.search(r"type error: [^\n\"]*|Malformed [^\n]*", str(e))
         raise StorageError(f"{path}: {told[0] if told else str(e).splitlines()[0]}") from e

@@ -65,3 +65,36 @@ def test_command_line(tmp_path):
     script.write_text("SELECT 1 + 1 AS two;\n")
     run = subprocess.run([sys.executable, "-m", "lodestar", str(script)], capture_output=True, text=True, timeout=120)
     assert run.returncode == 0 and "│ two │" in run.stdout
+
+
+def test_script_tells_a_failure_of_rows_and_stops(shell):
+    said = []
+    assert not shell.script(["SELECT CAST('x' AS INT);", "SELECT 1;"], said.append)
+    assert len(said) == 1 and said[0].startswith("execution error") and "cannot cast" in said[0]
+
+
+def test_long_results_are_cut_with_a_word(shell, monkeypatch):
+    monkeypatch.setattr("lodestar.shell.MOST_SHOWN", 2)
+    shell.handle("CREATE TABLE t (a INT); INSERT INTO t VALUES (1), (2), (3);")
+    answer = shell.handle("SELECT a FROM t ORDER BY a;")
+    assert "│ 2 │" in answer and "│ 3 │" not in answer and answer.endswith("only the first 2 rows are shown\n")
+    assert "shown" not in shell.handle("SELECT a FROM t LIMIT 2;")
+
+
+def test_save_replaces_what_is_there_even_its_own_files(shell, tmp_path):
+    out = tmp_path / "t"
+    shell.handle("CREATE TABLE t (a INT); INSERT INTO t VALUES (1), (2);")
+    shell.handle("CREATE TABLE u (b TEXT); INSERT INTO u VALUES ('x');")
+    for line in (f"\\save t {out}", f"\\save t {out}", f"\\save u {out}"):
+        shell.handle(line)
+    assert "│ x │" in shell.handle("SELECT b FROM u;") and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_errors_beyond_the_sample_name_the_column(shell, tmp_path):
+    path = tmp_path / "o.csv"
+    path.write_text("id,amount\n" + "1,2\n" * 1500 + "7,nope\n")
+    with pytest.raises(EngineError, match="cannot cast 'nope' to .* in column amount"):
+        shell.handle(f"\\import o {path}")
+    path.write_text("id,amount\n" + "1,2\n" * 1500 + "7,8,9\n")
+    with pytest.raises(EngineError, match="expected 2 fields in line: 7,8,9"):
+        shell.handle(f"\\import o {path}")
