@@ -1,16 +1,22 @@
 """Scan, filter, projection, join, aggregate, sort, limit and distinct, each as DataFrame operations.
 
 Every column has a unique name inside a plan, so self-joins and repeated output names are safe. Operators only declare;
-pushdown, pruning, join strategy, build side, spilling and top-k are Spark's.
+pushdown, pruning, join strategy, build side, spilling and top-k are Spark's. Only large cuts by LIMIT or OFFSET run at once.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.nodes import Node, Slot, sort_column
 from ..plans.typed import Typed
+from .places import between
+
+#: Most rows of an ordered LIMIT and OFFSET that are left to Spark's top-k, which holds them all in one task.
+TOP_ROWS = 100_000
 
 
 def one_row(spark: SparkSession) -> Node:
@@ -90,12 +96,21 @@ def sorted_rows(node: Node, keys: Keys) -> Node:
     return Node(_sort_line(keys), frame, node.slots, [node])
 
 
-def limited(node: Node, limit: int | None, offset: int) -> Node:
+def limited(node: Node, limit: int | None, offset: int, ordered: bool) -> Node:
+    """Rows from ``offset`` on, ``limit`` at most. The frame, which EXPLAIN shows, is Spark's own.
+
+    Spark brings the first ``offset`` and ``limit`` rows to one task, and without a limit all rows. Few are sorted there,
+    and unordered ones pass through; else the rows are cut by stored places when the query is run.
+    """
     frame = node.frame.offset(offset) if offset else node.frame
     line = f"Offset: {offset}"
     if limit is not None:
         frame, line = frame.limit(limit), f"Limit: {limit}" + (f", offset {offset}" if offset else "")
-    return Node(line, frame, node.slots, [node])
+    if limit == 0 or limit is not None and (not ordered or offset + limit <= TOP_ROWS):
+        return Node(line, frame, node.slots, [node])
+    end = None if limit is None else offset + limit
+    cut = partial(between, node.frame, offset, end, ordered)
+    return Node(f"{line}, by stored places", frame, node.slots, [node], run=cut)
 
 
 def distinct_rows(projection: Node, items: list[tuple[Typed, str]], keys: Keys) -> Node:

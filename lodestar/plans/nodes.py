@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,11 @@ class Node:
     #: Scans only: unique name to column, so that EXPLAIN can list what is read.
     reads: dict[str, str] | None = None
     pushed: list[str] = field(default_factory=list)
+    #: Large cuts only: runs what is below and gives a frame of the same rows, to be used in place of ``frame``.
+    run: Callable[[], DataFrame] | None = None
+
+    def rows(self) -> DataFrame:
+        return self.run() if self.run is not None else self.frame
 
     def explain(self, used: set[str] | None = None, depth: int = 0) -> str:
         line = self.line

@@ -66,11 +66,12 @@ class Session:
     def _rows(self, q: t.Select) -> Output:
         with dialect(self.spark):
             node, _ = self._plan(q)
-            frame = node.frame.toDF(*(s.name for s in node.slots)) if node.slots else node.frame
+            frame = node.rows()
+            frame = frame.toDF(*(s.name for s in node.slots)) if node.slots else frame
         return Output(frame, [s.kind for s in node.slots])
 
     def query(self, sql: str) -> DataFrame:
-        """The rows of one SELECT."""
+        """The rows of one SELECT. OFFSET without LIMIT, and a large LIMIT with ORDER BY, store rows before this returns."""
         q = parse_one(sql)
         if not isinstance(q, t.Select):
             raise PlanError("query() takes a SELECT")
@@ -91,7 +92,7 @@ class Session:
         from .plans.metrics import ran
 
         with dialect(self.spark):
-            frame = self._plan(q)[0].frame
+            frame = self._plan(q)[0].rows()
             # The frame's own plan runs, so that its counters fill, and its rows are counted where they are.
             rows = frame._jdf.queryExecution().toRdd().count()
             return ran(frame) + f"{rows} row{'' if rows == 1 else 's'} returned\n"

@@ -2,8 +2,10 @@
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from lodestar.errors import EngineError, PlanError, StorageError, TypeMismatch
+from lodestar.operators import places, relational
 from lodestar.session import Session
 
 ORDERS = [
@@ -181,6 +183,62 @@ def test_order_forms(rows):
     assert rows("SELECT id FROM orders LIMIT 0") == [] and rows("SELECT id FROM orders ORDER BY id OFFSET 5") == [(6,)]
 
 
+@pytest.fixture
+def parts(spark):
+    """Adaptive execution leaves small parts apart, so that several hold rows."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+@pytest.fixture(scope="module")
+def numbers(spark):
+    """1000 rows in 5 parts: k has ties and NULLs."""
+    s = Session(spark)
+    frame = spark.range(0, 1000, 1, 5).selectExpr("(id * 7919) % 1000 AS id", "if(id % 10 = 0, NULL, id % 3) AS k", "'t' || id AS name")
+    s.register("n", frame)
+    return s, [(r.id, r.k, r.name) for r in frame.collect()]
+
+
+def test_offset_spares_single_tasks(spark, parts, numbers):
+    s, all_rows = numbers
+    for sql in ("SELECT id, k, name FROM n ORDER BY id OFFSET 14", "SELECT id, k, name FROM n OFFSET 14"):
+        frame = s.query(sql)
+        shares = frame.groupBy(F.spark_partition_id()).count().collect()
+        assert len(shares) > 1 and sum(r[1] for r in shares) == 986
+        got = [tuple(r) for r in frame.collect()]
+        assert len(set(got)) == 986 and set(got) <= set(all_rows)
+    assert [tuple(r) for r in s.query("SELECT id, k, name FROM n ORDER BY id OFFSET 14").collect()] == sorted(all_rows)[14:]
+
+
+@pytest.mark.parametrize("offset", [1, 249, 250, 251, 999, 1000, 5000])
+def test_offsets_within_and_past_parts(parts, numbers, offset):
+    s, all_rows = numbers
+    by = sorted(all_rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[0]))
+    sql = "SELECT id, k, name FROM n ORDER BY k DESC, id"
+    assert [tuple(r) for r in s.query(f"{sql} OFFSET {offset}").collect()] == by[offset:]
+    got = [tuple(r) for r in s.query(f"SELECT k, id FROM n ORDER BY k DESC OFFSET {offset}").collect()]
+    assert [k for k, _ in got] == [r[1] for r in by[offset:]] and len({i for _, i in got}) == len(got)
+
+
+@pytest.mark.parametrize("limit,offset", [(300, 0), (300, 400), (300, 900), (300, 1000), (1000, 1), (0, 20), (4, 6), (4, 7)])
+def test_large_limits_with_order(spark, parts, numbers, monkeypatch, limit, offset):
+    monkeypatch.setattr(relational, "TOP_ROWS", 10)
+    s, all_rows = numbers
+    frame = s.query(f"SELECT name FROM n ORDER BY id LIMIT {limit} OFFSET {offset}")
+    assert [r[0] for r in frame.collect()] == [r[2] for r in sorted(all_rows)[offset : offset + limit]]
+    assert ("TakeOrdered" in frame._jdf.queryExecution().executedPlan().toString()) == (0 < limit and limit + offset <= 10)
+
+
+def test_explain_of_offset_runs_nothing(session, monkeypatch):
+    monkeypatch.setattr(places, "scratch", None)
+    assert session.execute_one("EXPLAIN SELECT id FROM orders ORDER BY id OFFSET 5").plan.startswith("Offset: 5, by stored places\n")
+    assert "Offset 5" in session.explain("SELECT id FROM orders ORDER BY id OFFSET 5")
+    monkeypatch.undo()
+    assert session.execute_one("EXPLAIN ANALYZE SELECT id FROM orders ORDER BY id OFFSET 5").plan.endswith("1 row returned\n")
+
+
 def test_distinct(rows):
     assert sorted(rows("SELECT DISTINCT region FROM orders")) == [("apac",), ("eu",), ("us",)]
     assert rows("SELECT DISTINCT region FROM orders ORDER BY id") == [("eu",), ("us",), ("apac",)]
